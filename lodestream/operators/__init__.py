@@ -1 +1 @@
-
+"""Operators on events and deliveries, each a plan over DataFrames."""

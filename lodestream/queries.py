@@ -1,6 +1,496 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, over the sample tables.
+
+``events`` becomes envelopes (see sources.envelope); other tables stand in for
+vectors, documents, orders and declared state.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import content, redacted
+from .lang.duration import Duration
+from .lang.subscription import PERIODS, Judge, parse
+from .operators import absence, conditions, deliveries, folds, judge, log, semantic
+from .plans.compile import pattern_column
+from .plans.match import Matcher, evaluated, filtered, match_matrix, survives
+from .sources import taps
+from .sources.envelope import sample_events, typed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: The sample events as the SQL engine sees them.
+EV = """ev AS (
+  SELECT event_id + 1 AS seq, 'EV.' || event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS tstext, ts AS event_time, epoch_us(ts) AS t, 'n' || (user_id % 4) AS node,
+    'tap.' || event_type AS source, 'app.' || event_type || '.u' || (user_id % 10) AS subject, CASE WHEN event_id % 10 <> 0 THEN 'U.' || user_id END AS correlation,
+    CAST(props->>'k' AS INT) AS k, value, user_id, event_type, event_id % 10 AS hops
+  FROM events)"""
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _matching(name: str, text: str, where: str) -> None:
+    """A query that filters by a subscription, with the same condition in SQL."""
+    sub = parse(f"{text} then cmd record")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return filtered(sample_events(spark, sf_dir), sub).select("seq", "id")
+
+    QUERIES[name] = run
+    ORACLE[name] = f"WITH {EV} SELECT seq, id FROM ev WHERE {where}"
+
+
+for _name, _text, _where in (
+    ("on_literal", "on app.error.u3", "subject = 'app.error.u3'"),
+    ("on_star", "on app.*.u1", "regexp_matches(subject, '^app\\.[^.]*\\.u1$')"),
+    ("on_dstar", "on app.purchase.**", "subject LIKE 'app.purchase.%'"),
+    ("on_everything", "on **", "true"),
+    ("on_multi", "on app.error.u1, app.click.**", "subject = 'app.error.u1' OR subject LIKE 'app.click.%'"),
+    ("from_source_or_node", "on ** from n2", "source = 'n2' OR node = 'n2'"),
+    ("from_pattern", "on app.** from tap.*", "source LIKE 'tap.%'"),
+    ("where_cmp", "on ** where payload.k > 90 && payload.value <= 50.5", "k > 90 AND value <= 50.5"),
+    ("where_and_or_not", 'on ** where !(payload.k < 50) && (payload.kind == "error" || payload.kind == "view")', "k >= 50 AND event_type IN ('error', 'view')"),
+    ("where_in_list", "on ** where payload.k in [1, 2.0, 3, 'x']", "k IN (1, 2, 3)"),
+    ("where_in_payload_list", "on ** where 'u3' in payload.tags", "user_id % 10 = 3"),
+    ("where_in_map_keys", "on ** where 'note' in payload", "k >= 50"),
+    ("where_matches", 'on ** where payload.note matches "^n[5-6][0-9]$"', "k BETWEEN 50 AND 69"),
+    ("where_has", "on ** where has(payload.flag) && !has(payload.note)", "k % 7 = 0 AND k < 50"),
+    ("where_size", "on ** where size(payload.tags) == 2 && size(payload.kind) > 5 && size(payload) > 6", "length(event_type) > 5 AND k >= 50 AND k % 7 = 0"),
+    ("where_absent_ne", 'on ** where payload.note != "n60"', "k <> 60"),
+    ("where_null_eq", "on ** where payload.flag == null && payload.note == null", "k < 50"),
+    ("where_error_rejects", "on ** where payload.kind > 3", "false"),
+    ("where_error_is_not_false", "on ** where (payload.kind > 3 && false) || true", "false"),
+    ("where_short_circuit", "on ** where payload.k >= 95 || payload.kind > 3", "k >= 95"),
+    ("where_string_order", 'on ** where payload.kind > "error" && ts < "2024-01-10T"', "event_type > 'error' AND tstext < '2024-01-10T'"),
+    ("where_index", "on ** where payload.tags.1 == 'u7' && payload.tags.5 == null", "user_id % 10 = 7"),
+    ("where_deep_equal", 'on ** where payload.tags == ["click", "u2"]', "event_type = 'click' AND user_id % 10 = 2"),
+    ("where_envelope", 'on ** where source == "tap.error" && correlation != null && node in ["n0", "n1"]', "source = 'tap.error' AND correlation IS NOT NULL AND node IN ('n0', 'n1')"),
+):
+    _matching(_name, _text, _where)
+
+
+MINIMUM = parse("on app.error.* where payload.k > 90 && payload.value >= 10 then emit alert.error")
+
+
+@query(f"WITH {EV} SELECT seq, id AS event_id, 'S1:' || id || ':' || row_number() OVER (ORDER BY seq) AS delivery_id FROM ev WHERE event_type = 'error' AND k > 90 AND value >= 10")
+def emit_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: match, number, and name deliveries."""
+    found = filtered(sample_events(spark, sf_dir), MINIMUM).select("seq", "id", F.lit("S1").alias("sub_id"))
+    return log.numbered_deliveries(found).select("seq", F.col("id").alias("event_id"), "delivery_id")
+
+
+# ---- many subscriptions, explanations -----------------------------------------------
+
+STANDING = {
+    "A": parse("on app.error.** where payload.k >= 50 then cmd a"),
+    "B": parse("on app.*.u1, app.click.u2 then cmd b"),
+    "C": parse('on app.** where has(payload.note) && payload.kind == "view" then cmd c'),
+    "D": parse('on app.** where payload.kind == "purchase" then cmd d'),
+    "E": parse("on app.signup.* from n3 where payload.k == 7 then cmd e"),
+    "F": parse("on ** where payload.k == 8 then cmd f"),
+}
+_STANDING_SQL = f"""WITH {EV}
+SELECT seq, 'A' AS sub_id FROM ev WHERE event_type = 'error' AND k >= 50
+UNION ALL SELECT seq, 'B' FROM ev WHERE subject LIKE 'app.%.u1' OR subject = 'app.click.u2'
+UNION ALL SELECT seq, 'C' FROM ev WHERE event_type = 'view' AND k >= 50
+UNION ALL SELECT seq, 'D' FROM ev WHERE event_type = 'purchase'
+UNION ALL SELECT seq, 'E' FROM ev WHERE event_type = 'signup' AND node = 'n3' AND k = 7
+UNION ALL SELECT seq, 'F' FROM ev WHERE k = 8"""
+
+
+@query(_STANDING_SQL)
+def match_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_matrix(sample_events(spark, sf_dir), STANDING).select("seq", "sub_id")
+
+
+@query(_STANDING_SQL)
+def match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Matcher(spark, STANDING).match_ids(sample_events(spark, sf_dir)).select("seq", "sub_id")
+
+
+@query(f"""WITH {EV}
+SELECT seq, CASE WHEN event_type <> 'error' THEN 'on' WHEN node <> 'n1' THEN 'from' WHEN NOT (k > 40) THEN 'where' END AS rejected_at,
+  CASE WHEN event_type <> 'error' THEN 'subject ''' || subject || ''' matches none of [app.error.**]' WHEN node <> 'n1' THEN 'neither source ''' || source || ''' nor node ''' || node || ''' matches ''n1'''
+    WHEN NOT (k > 40) THEN 'expression ''payload.k > 40'' evaluated to false' END AS reason FROM ev""")
+def why_not_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sub = parse("on app.error.** from n1 where payload.k > 40 then cmd x")
+    return evaluated(sample_events(spark, sf_dir), "S", sub).select("seq", "rejected_at", "reason")
+
+
+@query(f"WITH {EV} SELECT seq, event_type = 'error' AND k > 40 AS survives FROM ev")
+def survives_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survives(sample_events(spark, sf_dir), parse('on app.error.** where payload.k > 40 meaning "x" then cmd x')).select("seq", "survives")
+
+
+@query(f"WITH {EV} SELECT CASE WHEN event_type = 'error' AND k > 40 THEN 'pending' ELSE 'rejected' END AS outcome, count(*) AS n FROM ev GROUP BY 1")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(sample_events(spark, sf_dir), "S", parse('on app.error.** where payload.k > 40 judge "x?" budget 1/day then cmd x')).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# ---- the log ----------------------------------------------------------------------------
+
+@query(f"WITH {EV} SELECT seq, id FROM ev WHERE seq > 700")
+def log_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.events_after(sample_events(spark, sf_dir), 700).select("seq", "id")
+
+
+@query(f"WITH {EV} SELECT seq, id FROM ev ORDER BY seq DESC LIMIT 25")
+def log_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.tail(sample_events(spark, sf_dir), last=25).select("seq", "id")
+
+
+@query(f"WITH {EV} SELECT seq, id FROM ev WHERE seq > 100 ORDER BY seq LIMIT 32")
+def log_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.events_next(sample_events(spark, sf_dir), 100, 32).select("seq", "id")
+
+
+@query(f"WITH {EV} SELECT seq, id FROM ev WHERE tstext >= '2024-01-20T12:00:00.000Z'")
+def log_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.events_since(sample_events(spark, sf_dir), "2024-01-20T12:00:00.000Z").select("seq", "id")
+
+
+@query(f"WITH {EV} SELECT seq, id, subject FROM ev WHERE id = 'EV.77'")
+def log_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.event_by_id(sample_events(spark, sf_dir), "EV.77").select("seq", "id", "subject")
+
+
+def _doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = sample_events(spark, sf_dir)
+    again = events.where("(seq - 1) % 20 = 0").withColumn("seq", F.col("seq") + 100_000_000)
+    return events.union(again)
+
+
+@query(f"WITH {EV} SELECT id, seq, hops + 1 AS hops FROM ev WHERE hops + 1 <= 8")
+def dedup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.admitted(_doubled(spark, sf_dir)).select("id", "seq", F.col("hops").cast("long").alias("hops"))
+
+
+@query(f"WITH {EV} SELECT seq, id FROM ev WHERE hops + 1 > 8")
+def hop_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.hop_refused(sample_events(spark, sf_dir)).select("seq", "id")
+
+
+@query(f"WITH {EV} SELECT seq FROM ev WHERE event_time >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.retained(sample_events(spark, sf_dir), F.lit("2024-01-20 00:00:00").cast("timestamp")).select("seq")
+
+
+@query("SELECT 'a' AS name, 41 AS resume_from, 458 AS gap_expired UNION ALL SELECT 'b', 900, 0 UNION ALL SELECT 'c', 10, 489")
+def cursor_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sample_events(spark, sf_dir).where("seq >= 500")
+    cursors = log.committed(spark.createDataFrame([("a", 41), ("b", 7)], "name string, seq long"), spark.createDataFrame([("a", 12), ("b", 800)], "name string, seq long"))
+    return log.resumed(cursors, kept, spark.createDataFrame([("b", 900), ("c", 10)], "name string, after long"))
+
+
+@query(f"WITH {EV} SELECT sub_id, seq, n, sub_id || ':' || id || ':' || n AS delivery_id FROM (SELECT event_type AS sub_id, seq, id, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS n FROM ev) WHERE n <= 5")
+def limit_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sample_events(spark, sf_dir).select("seq", "id", F.element_at(F.split("subject", r"\."), 2).alias("sub_id"))
+    return log.numbered_deliveries(found, 5).select("sub_id", "seq", "n", "delivery_id")
+
+
+@query(f"WITH {EV} SELECT seq FROM ev WHERE event_time >= TIMESTAMP '2024-01-05 06:00:00' AND event_time < TIMESTAMP '2024-01-07 06:00:00'")
+def ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.within_ttl(sample_events(spark, sf_dir), F.lit("2024-01-05 06:00:00").cast("timestamp"), Duration.parse("2d")).select("seq")
+
+
+@query(f"WITH {EV} SELECT seq FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00' AND event_type = 'error'")
+def replay_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    backlog = log.replayed(sample_events(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp"), Duration.parse("24h"))
+    return filtered(backlog, parse("on app.error.** then cmd x since 24h")).select("seq")
+
+
+@query(f"""WITH {EV}, a AS (SELECT seq, id || '>R1' AS id, 'alert.error' AS subject FROM ev WHERE event_type = 'error' AND k > 80), b AS (SELECT seq, id || '>R2' AS id, 'page.oncall' AS subject FROM a WHERE seq % 2 = 0)
+SELECT seq, id, subject, 1 AS generation FROM a UNION ALL SELECT seq, id, subject, 2 FROM b""")
+def emit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [((F.col("subject").startswith("app.error.")) & (F.try_variant_get("payload", "$.k", "int") > 80), "R1", "alert.error"), ((F.col("subject") == "alert.error") & (F.col("seq") % 2 == 0), "R2", "page.oncall")]
+    return log.chained(sample_events(spark, sf_dir), rules).where("generation > 0").select("seq", "id", "subject", "generation")
+
+
+# ---- absence ------------------------------------------------------------------------------
+
+def _absent(name: str, text: str, condition: str) -> None:
+    sub = parse(f"on app.signup.** expect app.purchase.** {text} else then cmd alarm")
+    seconds = sub.expect.within.seconds
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return absence.expired(sample_events(spark, sf_dir), sub).select("seq", "id", F.unix_micros("deadline").alias("deadline"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"""WITH {EV} SELECT seq, id, t + {seconds * 1_000_000} AS deadline FROM ev o WHERE event_type = 'signup' AND NOT EXISTS (
+  SELECT 1 FROM ev e WHERE e.event_type = 'purchase' AND e.seq > o.seq AND e.t >= o.t AND e.t < o.t + {seconds * 1_000_000} AND {condition})"""
+
+
+_absent("expect_absent", "where correlation == $origin.correlation && payload.k > 20 within 4h", "e.correlation IS NOT DISTINCT FROM o.correlation AND e.k > 20")
+_absent("expect_nullsafe", "where correlation == $origin.correlation within 12h", "e.correlation IS NOT DISTINCT FROM o.correlation")
+_absent("expect_any", "within 20m", "true")
+_absent("expect_payload", "where payload.user_id == $origin.payload.user_id && payload.value > $origin.payload.value within 12h", "e.user_id = o.user_id AND e.value > o.value")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 30 DAY)")
+def orders_without_shipment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absence over a star schema: no shipment within 30 days of an order."""
+    orders, lines = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    origin = orders.select("o_orderkey", "o_orderdate")
+    expected = lines.select("l_orderkey", "l_shipdate")
+    soon = (F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
+    return origin.join(expected, (F.col("l_orderkey") == F.col("o_orderkey")) & soon, "left_anti").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, count(*) AS n_late FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate + INTERVAL 60 DAY GROUP BY 1")
+def late_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"), spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate")
+    late = F.col("l_shipdate") >= F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")
+    return lines.join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & late).groupBy("l_orderkey").agg(F.count("*").alias("n_late"))
+
+
+# ---- shaping --------------------------------------------------------------------------------
+
+def _by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_events(spark, sf_dir).select("seq", "event_time", F.element_at(F.split("subject", r"\."), 2).alias("sub_id"))
+
+
+_W = 3600 * 1_000_000
+
+
+@query(f"""WITH RECURSIVE {EV}, m AS (SELECT event_type AS sub_id, seq, t, row_number() OVER (PARTITION BY event_type ORDER BY t, seq) AS rn FROM ev),
+r AS (
+  SELECT sub_id, rn, t + {_W} AS we, NULL::BIGINT AS last, 0::BIGINT AS c, NULL::BIGINT AS e_seq, 0::BIGINT AS e_c, NULL::BIGINT AS e_at, seq AS lead, t AS lead_at FROM m WHERE rn = 1
+  UNION ALL
+  SELECT m.sub_id, m.rn,
+    CASE WHEN m.t < r.we THEN r.we WHEN r.last IS NOT NULL AND m.t < r.we + {_W} THEN r.we + {_W} ELSE m.t + {_W} END,
+    CASE WHEN m.t < r.we OR (r.last IS NOT NULL AND m.t < r.we + {_W}) THEN m.seq END,
+    CASE WHEN m.t < r.we THEN r.c + 1 WHEN r.last IS NOT NULL AND m.t < r.we + {_W} THEN 1 ELSE 0 END,
+    CASE WHEN m.t >= r.we THEN r.last END, r.c, r.we,
+    CASE WHEN m.t >= r.we AND (r.last IS NULL OR m.t >= r.we + {_W}) THEN m.seq END, m.t
+  FROM r JOIN m ON m.sub_id = r.sub_id AND m.rn = r.rn + 1)
+SELECT sub_id, lead AS seq, 'leading' AS kind, 0 AS collapsed, lead_at AS at_micros FROM r WHERE lead IS NOT NULL
+UNION ALL SELECT sub_id, e_seq, 'trailing', e_c, e_at FROM r WHERE e_seq IS NOT NULL
+UNION ALL SELECT sub_id, last, 'trailing', c, we FROM (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY rn DESC) AS k FROM r) WHERE k = 1 AND last IS NOT NULL""")
+def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.debounced(_by_type(spark, sf_dir), 3600)
+
+
+def _batch_sql(seconds: int) -> str:
+    return f"""RECURSIVE {EV}, m AS (SELECT event_type AS sub_id, seq, t, row_number() OVER (PARTITION BY event_type ORDER BY t, seq) AS rn FROM ev),
+r AS (
+  SELECT sub_id, rn, seq, t + {seconds * 1_000_000} AS we FROM m WHERE rn = 1
+  UNION ALL
+  SELECT m.sub_id, m.rn, m.seq, CASE WHEN m.t >= r.we THEN m.t + {seconds * 1_000_000} ELSE r.we END FROM r JOIN m ON m.sub_id = r.sub_id AND m.rn = r.rn + 1)"""
+
+
+@query(f"WITH {_batch_sql(7200)} SELECT sub_id, arg_max(seq, rn) AS seq, count(*) AS count, 0 AS dropped_over_cap, we AS at_micros, sum(seq)::BIGINT AS seq_sum FROM r GROUP BY sub_id, we")
+def batch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.aggregate("events", F.lit(0).cast("long"), lambda a, x: a + x)
+    return folds.batched(_by_type(spark, sf_dir), 7200).select("sub_id", "seq", "count", "dropped_over_cap", "at_micros", total.alias("seq_sum"))
+
+
+@query(f"WITH {_batch_sql(40 * 86400)} SELECT sub_id, arg_max(seq, rn) AS seq, least(count(*), 1000) AS count, greatest(count(*) - 1000, 0) AS dropped_over_cap FROM r GROUP BY sub_id, we")
+def batch_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.batched(_by_type(spark, sf_dir), 40 * 86400).select("sub_id", "seq", "count", "dropped_over_cap")
+
+
+@query(f"""WITH RECURSIVE {EV}, m AS (SELECT event_type AS sub_id, seq, t, row_number() OVER (PARTITION BY event_type ORDER BY t, seq) AS rn FROM ev),
+r AS (
+  SELECT sub_id, rn, seq, t AS start, 1::BIGINT AS used, true AS allowed, false AS told, false AS notify FROM m WHERE rn = 1
+  UNION ALL
+  SELECT m.sub_id, m.rn, m.seq, CASE WHEN m.t - r.start >= 86400000000 THEN m.t ELSE r.start END, CASE WHEN m.t - r.start >= 86400000000 THEN 1 ELSE least(r.used + 1, 21) END,
+    m.t - r.start >= 86400000000 OR r.used < 20, CASE WHEN m.t - r.start >= 86400000000 THEN false ELSE r.told OR r.used >= 20 END, m.t - r.start < 86400000000 AND r.used >= 20 AND NOT r.told
+  FROM r JOIN m ON m.sub_id = r.sub_id AND m.rn = r.rn + 1)
+SELECT sub_id, seq, allowed, notify FROM r""")
+def judge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.budgeted(_by_type(spark, sf_dir), 20, PERIODS["day"])
+
+
+@query()
+def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache, budget, sample and the rule judge together."""
+    events = sample_events(spark, sf_dir).where("subject like 'app.error.%'")
+    summary = F.concat_ws(" ", "subject", "payload_json")
+    rows = events.select(F.lit("S").alias("sub_id"), "seq", "event_time", F.sha2(content(F.col("type"), F.col("subject"), F.col("payload_json")), 256).alias("fingerprint"), summary.alias("summary"))
+    known = spark.createDataFrame([], "key string, verdict boolean, rationale string")
+    return judge.decided(rows, known, Judge("Is this an error of purchase?", 100, "day", 0.5))
+
+
+# ---- conditions -------------------------------------------------------------------------------
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("name"), "value", F.create_map(F.lit("shard"), F.concat(F.lit("s"), F.col("user_id") % 3)).alias("labels"))
+
+
+def _islands(metric: str, holds: str, hold: int, extra: str = "true") -> str:
+    return f"""p AS (SELECT event_id AS seq, epoch_us(ts) AS t, value, {holds} AS h FROM events WHERE event_type = '{metric}' AND {extra}),
+g AS (SELECT *, sum(c) OVER (ORDER BY t, seq) AS run FROM (SELECT *, CASE WHEN h <> lag(h) OVER (ORDER BY t, seq) THEN 1 ELSE 0 END AS c FROM p)),
+a AS (SELECT *, h AND t - min(t) OVER (PARTITION BY run) >= {hold * 1_000_000} AS held FROM g),
+b AS (SELECT *, sum(held::INT) OVER (PARTITION BY run ORDER BY t, seq) AS nth, bool_or(held) OVER (PARTITION BY run) AS was, row_number() OVER (PARTITION BY run ORDER BY t, seq) AS pos FROM a),
+d AS (SELECT *, lag(was) OVER (ORDER BY t, seq) AS before FROM b)"""
+
+
+_HIGH = conditions.Condition("high", "purchase", "gt", 20.0, 600)
+_SHARD = conditions.Condition("low1", "view", "le", 40.0, 0, {"shard": "s1"})
+_CHANGED = "SELECT CASE WHEN held AND nth = 1 THEN 'entered' ELSE 'cleared' END AS transition, seq, value FROM d WHERE (held AND nth = 1) OR (NOT h AND pos = 1 AND before)"
+
+
+@query(f"WITH {_islands('purchase', 'value > 20', 600)} {_CHANGED}")
+def condition_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions.transitions(_points(spark, sf_dir), _HIGH).select("transition", "seq", "value")
+
+
+@query(f"WITH {_islands('view', 'value <= 40', 0, 'user_id % 3 = 1')} {_CHANGED}")
+def condition_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions.transitions(_points(spark, sf_dir), _SHARD).select("transition", "seq", "value")
+
+
+@query(f"WITH {_islands('purchase', 'value > 20', 600)} SELECT 'high' AS condition, was AND h AS active, value AS last_value FROM d ORDER BY t DESC, seq DESC LIMIT 1")
+def condition_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions.status(_points(spark, sf_dir), _HIGH)
+
+
+# ---- meaning ------------------------------------------------------------------------------------
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as events, one a minute."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq"), F.timestamp_seconds(F.col("vec_id") * 60).alias("event_time"), F.col("embedding").alias("vec"))
+
+
+def _described(name: str, n: int, threshold: float) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _vectors(spark, sf_dir)
+        goal = [(f"d{r['seq']}", list(r["vec"])) for r in rows.where(F.col("seq") < n).orderBy("seq").collect()]
+        return semantic.best_descriptors(rows.where("seq >= 5"), goal, threshold).select("seq", "descriptor", F.round("score", 4).alias("score"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"""WITH s AS (SELECT e.vec_id AS seq, d.vec_id AS d, list_cosine_similarity(e.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings e JOIN embeddings d ON e.vec_id >= 5 AND d.vec_id < {n}),
+b AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, d) AS k FROM s) SELECT seq, 'd' || d AS descriptor, round(score, 4) AS score FROM b WHERE k = 1 AND score > {threshold}"""
+
+
+_described("meaning_topic", 1, 0.1)
+_described("meaning_any_of", 5, 0.2)
+
+
+@query("""WITH s AS (SELECT a.vec_id AS seq, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS near, count(b.vec_id) AS n
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id < a.vec_id AND b.vec_id >= a.vec_id - 200 GROUP BY a.vec_id)
+SELECT seq, round(CASE WHEN n = 0 THEN 1 ELSE 1 - greatest(near, 0) END, 4) AS score, n AS window_size FROM s WHERE CASE WHEN n = 0 THEN 1 ELSE 1 - greatest(near, 0) END > 0.15""")
+def meaning_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.novelty(_vectors(spark, sf_dir), 200 * 60).where("score > 0.15").select("seq", F.round("score", 4).alias("score"), "window_size")
+
+
+@query("""SELECT doc_id, r AS redacted FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  'sk-ant-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g'), '\\bgh[pousr]_[A-Za-z0-9]{16,}\\b', '[REDACTED]', 'g'), '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED]', 'g'),
+  '\\beyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{5,}\\b', '[REDACTED]', 'g'), '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{16,}', '[REDACTED]', 'g'),
+  '(?i)\\b(api[_-]?key|token|secret|password|passwd)["'']?\\s*[:=]\\s*["'']?[A-Za-z0-9._~+/=-]{12,}', '[REDACTED]', 'g') AS r FROM documents) WHERE r <> text""")
+def redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", redacted(F.col("text")).alias("redacted"), "text").where("redacted <> text").select("doc_id", "redacted")
+
+
+@query(f"""WITH {EV} SELECT sha256('{{"type":"' || subject || '","subject":"' || subject || '","payload":{{"k": ' || k || '}}}}') AS fingerprint, count(*) AS n FROM ev GROUP BY 1 HAVING count(*) > 1""")
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sample_events(spark, sf_dir)
+    k = F.concat(F.lit('{"k": '), F.try_variant_get("payload", "$.k", "int"), F.lit("}"))
+    return rows.groupBy(F.sha2(content(F.col("type"), F.col("subject"), k), 256).alias("fingerprint")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+# ---- deliveries, grants, declared state, taps ---------------------------------------------------
+
+@query(f"WITH {EV} SELECT seq FROM ev WHERE event_type = 'error' AND k > 50 AND (event_type = 'error' AND node = 'n1')")
+def grant_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filtered(sample_events(spark, sf_dir), parse("on app.error.** where payload.k > 50 then stream"))
+    return deliveries.allowed(found, 'on app.error.** from n1 where payload.kind == "error"').select("seq")
+
+
+@query(f"WITH {EV} SELECT seq FROM ev WHERE NOT (event_type = 'click' AND k < 30)")
+def grant_emit_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deliveries.split_emits(sample_events(spark, sf_dir), "on app.click.** where payload.k < 30")[1].select("seq")
+
+
+@query("""WITH d AS (SELECT p_name || '#' || p_partkey AS name, p_type AS canon FROM part WHERE p_partkey % 5 <> 0), e AS (SELECT p_name || '#' || p_partkey AS name, CASE WHEN p_size > 40 THEN p_type || '!' ELSE p_type END AS canon FROM part WHERE p_partkey % 7 <> 0)
+SELECT coalesce(d.name, e.name) AS name, CASE WHEN e.name IS NULL THEN 'created' WHEN d.name IS NULL THEN 'pruned' WHEN d.canon = e.canon THEN 'unchanged' ELSE 'updated' END AS action FROM d FULL JOIN e ON d.name = e.name""")
+def reconcile_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", F.concat_ws("#", "p_name", "p_partkey"))
+    desired = part.where("p_partkey % 5 <> 0").select("name", F.col("p_type").alias("canon"))
+    existing = part.where("p_partkey % 7 <> 0").select("name", F.when(F.col("p_size") > 40, F.concat("p_type", F.lit("!"))).otherwise(F.col("p_type")).alias("canon"))
+    return deliveries.reconciled(desired, existing, prune=True)
+
+
+@query("SELECT event_id AS delivery_id, least(2 * CAST(pow(2, event_id % 12 + 1) AS BIGINT), 900) AS wait FROM events")
+def outbox_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select(F.col("event_id").alias("delivery_id"), deliveries.retry_wait(F.col("event_id") % 12 + 1).alias("wait"))
+
+
+@query("SELECT doc_id::VARCHAR AS record_id, doc_id::VARCHAR AS watermark, 'docs.' || lower(regexp_replace(source, '[^A-Za-z0-9_-]', '-', 'g')) AS subject FROM documents WHERE doc_id >= 100 AND doc_id NOT IN (100, 101)")
+def watermark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.parse_json(F.to_json(F.struct("doc_id", "source"))).alias("record"))
+    poll = taps.Poll("docs", "{connector}.{source}", id="doc_id", watermark="doc_id", fields=("source",))
+    recent = spark.createDataFrame([("100",), ("101",)], "id string")
+    fresh = taps.fresh_records(docs, poll, "100", recent)
+    subject = F.concat(F.lit("docs."), F.lower(F.regexp_replace(F.try_variant_get("record", "$.source", "string"), "[^A-Za-z0-9_-]", "-")))
+    return fresh.select("record_id", "watermark", subject.alias("subject"))
+
+
+@query("SELECT 'hive.' || event_type AS subject, 'tap.hive' AS source, 'S.' || user_id AS correlation, count(*) AS n FROM events GROUP BY event_type, user_id")
+def ledger_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = rows.select(F.to_json(F.struct(F.col("event_type").alias("type"), F.concat(F.lit("S."), "user_id").alias("bee"), F.col("event_id").alias("id"))).alias("value"))
+    return taps.ledger_events(lines).groupBy("subject", "source", "correlation").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'webhook.' || role AS subject, 'tap.webhook.' || role AS source, count(*) AS n FROM conversations GROUP BY role")
+def webhook_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.initcap("role").alias("name"), F.col("text").alias("body"))
+    return taps.webhook_events(posts).groupBy("subject", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total, count(*) AS labelled FROM events GROUP BY event_type")
+def metric_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    body = F.to_json(F.struct(F.col("event_type").alias("name"), "value", F.struct(F.lit("a").alias("host"), F.lit(3).alias("n")).alias("labels")))
+    points = taps.datapoints(rows.select(F.col("event_id").alias("seq"), "ts", body.alias("body")))
+    return points.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.sum((F.size("labels") == 1).cast("long")).alias("labelled"))
+
+
+@query(f"WITH {EV} SELECT seq, subject FROM ev WHERE subject LIKE 'app.view.%'")
+def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, some of them wrapped, parsed as a file's are."""
+    from .sources.envelope import parsed_events
+
+    rows = sample_events(spark, sf_dir)
+    event = F.struct("id", "ts", "node", "source", "subject", "correlation", F.parse_json("payload_json").alias("payload"))
+    lines = rows.select(F.to_json(F.struct("seq", event.alias("event"))).alias("value"))
+    return parsed_events(lines, "value").where(pattern_column(parse("on app.view.* then stream").on[0], F.col("subject"))).select("seq", "subject")
+
+
+@query("""WITH s AS (SELECT i, i % 8 AS space, i // 8 % 8 AS kind, i % 100 AS n FROM range(10000) t(i)), e AS (SELECT j % 8 AS space, j // 7 % 8 AS kind, j % 100 AS n, j % 4 = 0 AS prod, count(*) AS c FROM range(100000) t(j) GROUP BY ALL)
+SELECT 'S' || i AS sub_id, sum(c)::BIGINT AS n FROM s JOIN e ON e.space = s.space AND e.n = s.n AND (i % 50 = 0 OR (i % 3 = 1 AND e.kind = s.kind AND e.prod)) GROUP BY i""")
+def throughput_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by subscription for the published matching workload (10,000 subscriptions, the realistic mix)."""
+    subs, events = bench_workload(spark, 10_000, 100_000, 50)
+    return subs.match_ids(events).groupBy("sub_id").agg(F.count("*").alias("n"))
+
+
+def bench_workload(spark: SparkSession, n_subs: int, n_events: int, every: int) -> tuple[Matcher, DataFrame]:
+    """The published workload: 8 namespaces, 8 kinds, one catch-all in ``every`` subscriptions."""
+    spaces, kinds = [f"ns{k}" for k in range(8)], [f"kind{k}" for k in range(8)]
+    subs = {}
+    for i in range(n_subs):
+        space, kind, n = spaces[i % 8], kinds[i // 8 % 8], i % 100
+        on, where = (f"{space}.**", f"has(payload.n) && payload.n == {n}") if i % every == 0 else (f"{space}.*.{kind}", f'payload.env == "prod" && payload.n == {n}') if i % 3 == 1 else (f"{space}.{kind}", f"payload.n == {n}")
+        subs[f"S{i}"] = parse(f"on {on} where {where} then cmd x")
+    at = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    i = F.col("id")
+    payload = F.concat(F.lit('{"n": '), i % 100, F.lit(', "env": "'), F.when(i % 4 == 0, F.lit("prod")).otherwise(F.lit("dev")), F.lit('"}'))
+    rows = spark.range(n_events).select((i + 1).alias("seq"), F.concat(F.lit("EV."), i).alias("eid"), F.concat_ws(".", at(spaces, i), (i % 5).cast("string"), at(kinds, F.floor(i / 7))).alias("subject"), payload.alias("payload_json"))
+    rows = rows.select("seq", F.col("eid").alias("id"), F.lit("2026-01-01T00:00:00Z").alias("ts"), F.lit("n").alias("node"), F.lit("bench").alias("source"), F.col("subject").alias("type"), "subject", "payload_json")
+    return Matcher(spark, subs), typed(rows)
