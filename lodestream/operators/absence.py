@@ -32,7 +32,7 @@ def _equal_fields(e) -> tuple[str, str] | None:
 
 def residual(sub: Subscription) -> list[Column]:
     """The conditions on event ``e`` and origin ``o`` that disarm."""
-    out = [F.col("e.seq") > F.col("o.seq"), F.col("e.event_time") < F.col("o.event_time") + F.make_dt_interval(secs=F.lit(sub.expect.within.seconds)), F.col("e.event_time") >= F.col("o.event_time")]
+    out = [F.col("e.seq") > F.col("o.seq"), F.col("e.event_time") < F.col("o.event_time") + F.expr(f"INTERVAL {sub.expect.within.seconds} SECONDS"), F.col("e.event_time") >= F.col("o.event_time")]
     if sub.expect.where is not None:
         compiler = Compiler(event="e", origin="o")
         for part in _conjuncts(sub.expect.where):
