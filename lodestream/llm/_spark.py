@@ -28,17 +28,60 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As saved, for small rows in loops: a table in the shared folder, of whose plan nothing stays.
+    """As saved, but compressed and by column: for texts, and for small rows in loops, as nothing of the plan stays.
 
     (A checkpoint keeps what the optimiser inferred of its plan, and that multiplies from round to round.)
+    These tables stay until ``tidy`` or until the folder goes.
     """
     spark = df.sparkSession
     shared(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Delete the tables of ``written`` once no result that reads them is needed any more."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.get()}/rounds")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Cells of the table that tells which rows may be among some others.
+MAYBE_CELLS = 1 << 22
+
+
+def maybe_among(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of 64-bit keys: true for all keys of the one column of ``keys``, false for most others; its size is fixed."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield np.asarray(batch.column(0)) & (MAYBE_CELLS - 1)
+
+    shared = keys.sparkSession.sparkContext.broadcast(np.packbits(tallied(keys, cells, MAYBE_CELLS) > 0))
+
+    def test(keys: np.ndarray) -> np.ndarray:
+        cell = keys & (MAYBE_CELLS - 1)
+        return (shared.value[cell >> 3] >> (7 - (cell & 7))) & 1 == 1
+
+    return test
+
+
+def parted(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose 64-bit column may be among the keys, and the others, told apart before any shuffle."""
+    among, at, schema = maybe_among(keys), df.columns.index(column), df.schema
+
+    def pick(wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(among(np.asarray(batch.column(at))) == wanted))
+
+        return picked
+
+    return df.mapInArrow(pick(True), schema), df.mapInArrow(pick(False), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,8 +33,8 @@ from ._text import U
 
 #: Words of a shingle; least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Cells of each of the two frequency tables (4 bytes each), and of the table of documents with partners (1 byte each).
-FREQUENCY_CELLS, PARTNER_CELLS = 1 << 18, 1 << 22
+#: Cells of each of the two frequency tables (2 bytes each).
+FREQUENCY_CELLS = 1 << 19
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -62,7 +62,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
             if sets:
                 yield np.concatenate(_cells(np.concatenate(sets)))
 
-    return _spark.tallied(docs.select("text"), cells, 2 * FREQUENCY_CELLS, np.uint32)
+    return _spark.tallied(docs.select("text"), cells, 2 * FREQUENCY_CELLS, np.uint16)
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -92,18 +92,11 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, members) of the wanted documents' sets; a fixed-size table drops most others before the shuffle."""
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            yield np.asarray(batch.column(0)) & (PARTNER_CELLS - 1)
-
-    ids = wanted.select(F.xxhash64("id").alias("h"))
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_spark.tallied(ids, cells, PARTNER_CELLS) > 0))
+    among = _spark.maybe_among(wanted.select(F.xxhash64("id")))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            cell = np.asarray(batch.column(1)) & (PARTNER_CELLS - 1)
-            kept = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7))) & 1 == 1))
+            kept = batch.filter(pa.array(among(np.asarray(batch.column(1)))))
             for piece in _text.pieces([kept]):
                 found = list(shingles(*_text.raw(piece.column(2)), size))
                 if found:
@@ -132,13 +125,13 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     fits = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n")))
     wide = member.where("members > 1")
-    wanted = index.select("g").distinct().join(member.select("g", "id"), "g").select("id").union(wide.select("id")).distinct()
-    sets = _spark.saved(_sets(docs, wanted, size))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) of documents whose whole sets are similar enough."""
+        """The pairs (u, v) of documents whose whole sets are similar enough; sets are made for documents in pairs only."""
+        pairs = _spark.saved(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        sets = _sets(docs, _spark.saved(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()), size)
         u, v = (sets.select(F.col("id").alias(x), F.col("members").alias(f"{x}_set")) for x in "uv")
-        both = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(u, "u").join(v, "v")
+        both = pairs.join(u, "u").join(v, "v")
         same = F.size(F.array_intersect("u_set", "v_set"))
         return _spark.written(both.where(100 * same >= percent * (F.size("u_set") + F.size("v_set") - same)).select("u", "v"))
 
@@ -148,20 +141,16 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     links = verified(star.union(wide.select(F.col("g").alias("u"), F.col("id").alias("v"))))
 
     # what is left: groups that share a token, members of one group, in different components so far
-    for again in (True, False):
-        root = _spark.components(links)
-        rooted = _spark.saved(member.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-        rest = index.join(rooted.select("g", "id", "root"), "g")
-        open_tokens = rest.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-        rest = rest.join(open_tokens, "token")
-        inner = rooted.where("members > 1")
-        if again:  # one member of each component stands for it: most families meet here
-            rest, inner = (x.join(x.groupBy(k, "root").agg(F.min("id").alias("id")), [k, "root", "id"]) for x, k in ((rest, "token"), (inner, "g")))
-        rest, inner = _spark.saved(rest), _spark.saved(inner)
-        apart = F.col("a.root") < F.col("b.root")
-        pairs = rest.alias("a").join(rest.alias("b"), "token").where(apart & fits).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        within = inner.alias("a").join(inner.alias("b"), "g").where(apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        links = _spark.written(links.union(verified(pairs.union(within))))
+    root = _spark.components(links)
+    rooted = _spark.saved(member.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    rest = index.join(rooted.select("g", "id", "root"), "g")
+    open_tokens = rest.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    rest = _spark.saved(rest.join(open_tokens, "token"))
+    inner = rooted.where("members > 1")
+    apart = F.col("a.root") < F.col("b.root")
+    pairs = rest.alias("a").join(rest.alias("b"), "token").where(apart & fits).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    within = inner.alias("a").join(inner.alias("b"), "g").where(apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    links = _spark.written(links.union(verified(pairs.union(within))))
 
     root = _spark.components(links)
     least = root.groupBy("root").agg(F.min("node").alias("component_id"))
