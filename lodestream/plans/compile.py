@@ -105,11 +105,30 @@ def step_into(v: Column, steps: tuple[str, ...]) -> Column:
     return F.try_variant_get(v, "$" + held, "variant") if held else v
 
 
+def extracted(v: Column, name: str) -> list[Column]:
+    """A variant's kind and its readings as columns of this name, so that many conditions read it once."""
+    value = variant_value(v)
+    kind = F.lit(None).cast("string")
+    for k in reversed(value.kinds[1:]):
+        kind = F.when(value.is_(k), F.lit(k)).otherwise(kind)
+    whole = F.when(value.whole, value.read("long"))
+    readings = (F.when(value.is_(k), value.read(k)) for k in ("num", "str", "bool"))
+    return [F.coalesce(F.when(value.is_("null"), F.lit("null")), kind).alias(f"{name}_kind"), whole.alias(f"{name}_long"), *(r.alias(f"{name}_{k}") for r, k in zip(readings, ("num", "str", "bool"), strict=True))]
+
+
+def extracted_value(name: str, v: Column) -> Value:
+    kinds = ("null", "bool", "num", "str", "list", "map")
+    return Value(kinds, lambda k: F.col(f"{name}_kind") == k, lambda k: F.to_json(v) if k in ("list", "map") else F.col(f"{name}_{k}"), F.col(f"{name}_long").isNotNull())
+
+
 class Compiler:
-    """Expressions over the columns of an event; prefixes tell an origin's columns from an event's."""
+    """Expressions over the columns of an event; prefixes tell an origin's columns from an event's.
+
+    ``known`` names the columns of payload paths that are extracted already.
+    """
 
-    def __init__(self, event: str = "", origin: str | None = None, parameter: Callable[[int, str], Column] | None = None):
-        self.event, self.origin, self.parameter = event, origin, parameter
+    def __init__(self, event: str = "", origin: str | None = None, parameter: Callable[[int, str], Column] | None = None, known: dict[tuple[str, ...], str] | None = None):
+        self.event, self.origin, self.parameter, self.known = event, origin, parameter, known or {}
 
     def column(self, name: str, of_origin: bool = False) -> Column:
         prefix = self.origin if of_origin else self.event
@@ -137,7 +156,8 @@ class Compiler:
                     return _static("null", F.lit(None).cast("string"), error=F.lit(True))
                 if root != "payload":
                     return _static("null", F.lit(None).cast("string")) if steps else text_value(self.column(root, of_origin))
-                return variant_value(step_into(self.column("payload", of_origin), steps))
+                at = step_into(self.column("payload", of_origin), steps)
+                return extracted_value(self.known[steps], at) if steps in self.known and not of_origin else variant_value(at)
             case X.Size(inner):
                 n = self._size(inner)
                 out = _static("num", n, True, n.isNull())
@@ -184,7 +204,7 @@ class Compiler:
             case X.Has(path):
                 if path.root != "payload":
                     return F.lit(False) if path.steps else self.column(path.root, path.origin).isNotNull()
-                return step_into(self.column("payload", path.origin), path.steps).isNotNull()
+                return step_into(self.column("payload", path.origin), path.steps).isNotNull()  # null is there, absent isn't
             case _:
                 v = self.value(e)
                 return self._guard(F.when(v.is_("bool"), v.read("bool")), v) if "bool" in v.kinds else F.lit(NONE).cast("boolean")

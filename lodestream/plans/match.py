@@ -12,13 +12,14 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang import expression as X
 from ..lang.pattern import Pattern
 from ..lang.subscription import Subscription
-from .compile import Compiler, Parameter, patterns_column, step_into, variant_value
+from .compile import Compiler, Parameter, extracted, extracted_value, patterns_column, step_into
 
 #: Subscriptions in one projection; rows of patterns that are broadcast at most.
 AT_ONCE, BROADCAST_ROWS = 50, 200_000
@@ -142,6 +143,27 @@ def _conjuncts(e: Any) -> list[Any]:
     return _conjuncts(e.left) + _conjuncts(e.right) if isinstance(e, X.Both) else [e]
 
 
+def _paths(e: Any) -> set[tuple[str, ...]]:
+    """The payload paths an expression compares."""
+    match e:
+        case X.Path(root, steps, of_origin):
+            return {steps} if root == "payload" and not of_origin else set()
+        case X.Not(a):
+            return _paths(a)
+        case X.Both(a, b) | X.Either(a, b) | X.Compare(_, a, b):
+            return _paths(a) | _paths(b)
+        case X.Within(a, X.Items()) | X.Matches(a, _):
+            return _paths(a)
+    return set()
+
+
+def _without(e: Any, part: Any) -> Any:
+    """The expression without one of its conjuncts, which is known to hold, or has()-tests it implies."""
+    path = part.left
+    left = [c for c in _conjuncts(e) if c != part and c != X.Has(path)]
+    return reduce(X.Both, left) if left else None
+
+
 def _promoted(e: Any) -> tuple[X.Path, Parameter] | None:
     """A payload path that a conjunct asks to equal a literal."""
     for c in _conjuncts(e) if e is not None else []:
@@ -181,8 +203,10 @@ class Matcher:
         for sub_id, sub in self.subs.items():
             taken: list[Any] = []
             where = None if sub.where is None else _abstract(sub.where, taken)
-            template = templates.setdefault((where, sub.source), len(templates))
             equal = _promoted(where)
+            if equal and (equal[1].whole or equal[1].kind != "num"):  # the key is as exact as the comparison
+                where = _without(where, X.Compare("==", *equal))
+            template = templates.setdefault((where, sub.source), len(templates))
             several |= len(sub.on) > 1
             for pattern in sub.on:
                 shape = Shape.of(pattern)
@@ -193,7 +217,8 @@ class Matcher:
                 key = ".".join((name, *fixed)) + (f"|{path}|{_plain(taken[equal[1].index])}" if equal else "")
                 numbers = [float(v) if isinstance(v, (int, float)) else None for v in taken]
                 rows.append((key, sub_id, template, [v if isinstance(v, str) else None for v in taken], numbers))
-        table = self.spark.createDataFrame(rows, "_key string, sub_id string, _template int, _texts array<string>, _numbers array<double>") if rows else None
+        kinds = (("_key", pa.string()), ("sub_id", pa.string()), ("_template", pa.int32()), ("_texts", pa.list_(pa.string())), ("_numbers", pa.list_(pa.float64())))
+        table = self.spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})).cache() if rows else None
         return shapes, list(templates), joins, table, several
 
     def match_ids(self, events: DataFrame) -> DataFrame:
@@ -203,12 +228,16 @@ class Matcher:
         if self._compiled is None:
             self._compiled = self._compile()
         shapes, templates, joins, table, several = self._compiled
-        tokens = F.split("subject", r"\.")
+        paths = sorted({path.steps for _, path in joins if path is not None}.union(*(_paths(where) for where, _ in templates)))
+        known = {steps: f"_p{k}" for k, steps in enumerate(paths)}
+        given = events.columns
+        events = events.select("*", F.split("subject", r"\.").alias("_tokens"), *(c for steps, name in known.items() for c in extracted(step_into(F.col("payload"), steps), name)))
+        tokens = F.col("_tokens")
         keys = []
         for shape, path in joins:
             key = shape.key(shapes[shape], tokens)
             if path is not None:
-                v = variant_value(step_into(F.col("payload"), path.steps))
+                v = extracted_value(known[path.steps], F.col("payload"))
                 number = F.when(v.is_("num"), F.concat(F.lit("n"), _shown(v.read("num"))))
                 text = F.coalesce(number, F.when(v.is_("str"), F.concat(F.lit("s"), v.read("str"))), F.when(v.is_("bool"), F.concat(F.lit("b"), v.read("bool").cast("string"))))
                 key = F.concat(key, F.lit(f"|{path}|"), text)
@@ -222,11 +251,11 @@ class Matcher:
 
         conditions = F.lit(False)
         for number, (where, source) in reversed(list(enumerate(templates))):
-            ok = F.lit(True) if where is None else F.coalesce(Compiler(parameter=parameter).truth(where), F.lit(False))
+            ok = F.lit(True) if where is None else F.coalesce(Compiler(parameter=parameter, known=known).truth(where), F.lit(False))
             if source is not None:
                 ok = ok & (patterns_column((source,), F.col("source")) | patterns_column((source,), F.col("node")))
             conditions = F.when(F.col("_template") == number, ok).otherwise(conditions)
-        out = out.where(conditions).drop("_key", "_template", "_texts", "_numbers")
+        out = out.where(conditions).select(*given, "sub_id")
         return out.dropDuplicates(["seq", "sub_id"]) if several else out
 
 
