@@ -76,7 +76,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = np.bincount(doc[np.cumsum(twice[:-1]) > 0], minlength=n)
     # lines with a word that equal an earlier one
     breaks = np.flatnonzero(data == 10)
-    heads = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
+    heads = np.unique(np.concatenate((offsets[:-1], breaks + 1)))  # an empty text begins where the next one does
     line_doc = np.searchsorted(offsets, heads, "right") - 1
     line_doc = np.minimum(line_doc, n - 1) if n else line_doc
     stops = np.minimum(np.searchsorted(breaks, heads), max(len(breaks) - 1, 0))
