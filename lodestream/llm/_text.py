@@ -88,8 +88,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each piece has few bytes of text; none is empty."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each piece has few bytes of text and few rows; none is empty."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -98,7 +98,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at = 0
         while at < n:
             end = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-            end = min(n, max(at + 1, end))
+            end = min(n, at + rows, max(at + 1, end))
             yield batch.slice(at, end - at)
             at = end
 

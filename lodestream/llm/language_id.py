@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import _spark, _text
 
-#: Documents of a language to learn from; hashed n-gram dimensions; sizes of n-grams in bytes; bytes of a sampled text that are counted at once.
-SAMPLE, DIMENSIONS, GRAMS = 400, 1 << 12, (2, 3)
+#: Documents of a language to learn from; hashed n-gram dimensions; sizes of n-grams in bytes; texts whose profiles are held at once.
+SAMPLE, DIMENSIONS, GRAMS, ROWS = 400, 1 << 12, (2, 3), 256
 #: Least lead of the best codeword's probability over the next.
 LEAD = 0.1
 UNKNOWN = "und"
@@ -110,11 +110,12 @@ class Model:
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model; the driver gets n-gram counts of the bounded sample only."""
     pool = docs.where(_spark.learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
-    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("id"), "id"))
-    chosen = F.broadcast(pool.withColumn("k", rank).where(F.col("k") <= sample).select("id").distinct())  # at most `sample` numbers by language
+    best = lambda rows, *by: rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= sample).drop("k")
+    parts = best(pool.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))), "language", "part")  # no language's rows meet in one task
+    chosen = F.broadcast(best(parts, "language").select("id").distinct())  # at most `sample` numbers by language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _text.pieces(batches):
+        for piece in _text.pieces(batches, rows=ROWS):
             x = profiles(*_text.raw(piece.column(2)))
             at = [np.flatnonzero(row) for row in x]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([row[a].tobytes() for row, a in zip(x, at, strict=True)], pa.binary())], names=["id", "language", "cells", "shares"])
@@ -149,7 +150,7 @@ def identified(docs: DataFrame) -> DataFrame:
     predict = predictor(docs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _text.pieces(batches):
+        for piece in _text.pieces(batches, rows=ROWS):
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *predict(piece.column(2))], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     return docs.select("doc_id", _spark.held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
@@ -162,7 +163,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _text.pieces(batches, names[at]):
+        for piece in _text.pieces(batches, names[at], rows=ROWS):
             language, _, ambiguous = predict(piece.column(at))
             keeps = [x != UNKNOWN and not a for x, a in zip(language.to_pylist(), ambiguous.to_pylist(), strict=True)]
             yield piece.filter(pa.array(keeps, pa.bool_()))
