@@ -129,15 +129,6 @@ def _level(rows: DataFrame, level: int, last: bool) -> DataFrame:
     return dealt.groupBy("source", "_block").applyInArrow(block, rows.schema)
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The rows with source_size, target and ``_copies``, the times each is taken; ``_size`` is its words."""
-    names = docs.columns
-    hidden = docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "source") else f"_c{k}") for k, c in enumerate(names)))
-    rows = sized(hidden) if "_size" not in names else docs
-    back = [c if c in ("doc_id", "text", "source") else f"_c{k}" for k, c in enumerate(names)]
-    return _mix(rows, weights, share, most).select(*(F.col(b).alias(c) for b, c in zip(back, names, strict=True)), "_size", "source_size", "target", "_copies")
-
-
 def _mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     aims = _spark.saved(targets(rows.select("source", "_size"), weights, share, most))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -160,8 +151,10 @@ def _mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float)
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them; all columns."""
-    out = mixed(docs)
-    return out.where("_copies > 0").withColumn("_turn", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = docs.columns
+    own = [c if c in ("doc_id", "text", "source") else f"_c{k}" for k, c in enumerate(names)]  # no name of ours meets one of theirs
+    out = _mix(sized(docs.toDF(*own)), WEIGHTS, SHARE, MOST)
+    return out.where("_copies > 0").withColumn("_turn", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*own).toDF(*names)
 
 
 def digest(docs: DataFrame) -> DataFrame:
