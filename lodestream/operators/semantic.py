@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ WINDOW, CHUNK, DIMENSIONS = 20_000, 2_000, 384
 
 def hashing_embedder(text: str) -> np.ndarray:
     """A deterministic stand-in for a model: signed hashed words and word pairs."""
-    out, words = np.zeros(DIMENSIONS, np.float32), text.lower().split()
+    out, words = np.zeros(DIMENSIONS, np.float32), re.findall(r"\w+", text.lower())
     for gram in (*words, *map(" ".join, zip(words, words[1:]))):  # noqa: B905
         h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
         out[h % DIMENSIONS] += 1.0 if h >> 40 & 1 else -1.0
