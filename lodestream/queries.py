@@ -6,6 +6,8 @@ vectors, documents, orders and declared state.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,9 @@ from .operators import absence, conditions, deliveries, folds, judge, log, seman
 from .plans.compile import pattern_column
 from .plans.match import Matcher, evaluated, filtered, match_matrix, survives
 from .sources import taps
-from .sources.envelope import sample_events, typed
+from .sources.envelope import emitted, sample_events, sample_stream, typed
+from .streaming import plans as streams
+from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -218,6 +222,20 @@ def emit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.chained(sample_events(spark, sf_dir), rules).where("generation > 0").select("seq", "id", "subject", "generation")
 
 
+@query(f"WITH {EV} SELECT sub_id, seq, sub_id || ':' || id || ':' || row_number() OVER (PARTITION BY sub_id ORDER BY seq) AS delivery_id FROM (SELECT event_type AS sub_id, seq, id FROM ev WHERE k > 60)")
+def delivery_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filtered(sample_events(spark, sf_dir), parse("on ** where payload.k > 60 then cmd x"))
+    return log.numbered_deliveries(found.select("seq", "id", F.element_at(F.split("subject", r"\."), 2).alias("sub_id"))).select("sub_id", "seq", "delivery_id")
+
+
+@query(f"WITH {EV} SELECT row_number() OVER (ORDER BY tstext, id) AS seq, id, 'cli' AS source, subject AS type FROM ev WHERE event_type <> 'view'")
+def emit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial events get their defaults and dense numbers; wrong subjects are refused."""
+    subject = F.when(F.col("subject").startswith("app.view."), F.concat("subject", F.lit(".*"))).otherwise(F.col("subject"))
+    partial = sample_events(spark, sf_dir).select("id", "ts", subject.alias("subject"), "payload_json")
+    return emitted(partial, "n0").select("seq", "id", "source", "type")
+
+
 # ---- absence ------------------------------------------------------------------------------
 
 def _absent(name: str, text: str, condition: str) -> None:
@@ -313,6 +331,12 @@ def judge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.budgeted(_by_type(spark, sf_dir), 20, PERIODS["day"])
 
 
+@query()
+def judge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deterministic tenth of the events."""
+    return sample_events(spark, sf_dir).where(judge.sampled(F.col("id"), 0.1)).select("seq", "id")
+
+
 @query()
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache, budget, sample and the rule judge together."""
@@ -323,6 +347,37 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.decided(rows, known, Judge("Is this an error of purchase?", 100, "day", 0.5))
 
 
+# ---- streams ------------------------------------------------------------------------------------
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives of all there is, by way of the shared folder."""
+    spark = stream.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-"))
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams/{uuid.uuid4().hex}"
+    streams.run_once(stream, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(ORACLE["where_and_or_not"])
+def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sub = parse('on ** where !(payload.k < 50) && (payload.kind == "error" || payload.kind == "view") then stream')
+    return _drained(filtered(sample_stream(spark, sf_dir), sub).select("seq", "id"))
+
+
+@query(f"SELECT * FROM ({ORACLE['debounce']}) WHERE kind = 'leading'")
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading deliveries; the last windows' closes wait for later events."""
+    rows = sample_stream(spark, sf_dir).withWatermark("event_time", "0 seconds").select("seq", "event_time", F.element_at(F.split("subject", r"\."), 2).alias("sub_id"))
+    return _drained(stateful.debounced(rows, 3600)).where("kind = 'leading'")
+
+
+@query(ORACLE["limit_n"].replace("SELECT sub_id, seq, n, sub_id || ':' || id || ':' || n AS delivery_id", "SELECT sub_id, seq, n"))
+def stream_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sample_stream(spark, sf_dir).withWatermark("event_time", "0 seconds").select("seq", "event_time", F.element_at(F.split("subject", r"\."), 2).alias("sub_id"))
+    return _drained(stateful.limited(rows, 5))
+
+
 # ---- conditions -------------------------------------------------------------------------------
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,9 +105,19 @@ def sample_payload() -> Column:
 
 def sample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as envelopes; all columns are row-wise, so filters on them reach the scan where they can."""
-    configure(spark)
+    return as_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def as_events(table: DataFrame) -> DataFrame:
+    configure(table.sparkSession)
     time, number = F.col("ts").cast("timestamp"), F.col("event_id")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    rows = table.select(
         (number + 1).alias("seq"), F.concat(F.lit("EV."), number).alias("id"), F.date_format(time, STAMP).alias("ts"), time.alias("event_time"), F.concat(F.lit("n"), F.col("user_id") % 4).alias("node"),
         F.concat(F.lit("tap."), "event_type").alias("source"), F.concat(F.lit("app."), "event_type", F.lit(".u"), F.col("user_id") % 10).alias("subject"),
         F.when(number % 10 != 0, F.concat(F.lit("U."), "user_id")).alias("correlation"), sample_payload().alias("payload_json"), (number % 10).cast("int").alias("hops"),
