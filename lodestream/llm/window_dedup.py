@@ -80,29 +80,34 @@ def _suspects(rows: DataFrame, counts: np.ndarray, width: int, gram: int) -> Dat
 
 
 def repeated(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """row, starts, ends: the ranges of words (row's own numbers) that windows of smaller documents cover."""
-    found = _spark.saved(_suspects(rows, sketch(rows, width, gram), width, gram))
+    """row, doc_id, starts, ends: the ranges of words (row's own numbers) that windows of smaller documents cover."""
+    found = _spark.written(_suspects(rows, sketch(rows, width, gram), width, gram))
     key = ["anchor", "c1", "c2"]
-    same = _spark.saved(found.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least")))
-    many = same.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    split = same.join(many, "anchor")
+    same = found.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    same = _spark.saved(same)
+    # only where documents of different numbers share an anchor can anything go
+    live = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select("anchor", "contexts")
+    same = _spark.saved(same.join(live, "anchor"))
     # the windows of anchors with several contexts
-    hashes = found.where(F.size("own") > 0).select(*key, "own").join(split, key).groupBy(*key).agg(F.first("own").alias("own"), F.min("least").alias("least"))
-    windows = hashes.select(*key, "least", F.posexplode("own").alias("at", "w"))
+    split = same.where("contexts > 1").drop("contexts")
+    owned, _ = _spark.parted(found.where(F.size("own") > 0).select(*key, "own"), "c1", split.select("c1"))
+    hashes = owned.join(split, key).groupBy(*key).agg(F.first("own").alias("own"), F.min("least").alias("least"), F.max("most").alias("most"))
+    windows = hashes.select(*key, "least", "most", F.posexplode("own").alias("at", "w"))
     first = windows.groupBy("anchor", "w").agg(F.min("least").alias("first"))
-    inner = windows.join(first, ["anchor", "w"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("firsts"))
+    inner = windows.join(first, ["anchor", "w"]).where("first < most").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("firsts"))
     # a range of windows of the context for each run that a smaller document has
     whole = found.select("row", "doc_id", *key, "start", "n").join(same, key)
-    alone = whole.join(many, "anchor", "left_anti").where("doc_id > least").select("row", "start", (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end"))
-    each = whole.join(inner, key).select("row", "start", F.filter("firsts", lambda x: x["first"] < F.col("doc_id")).alias("hits")).where(F.size("hits") > 0)
-    pieces = each.select("row", F.explode("hits").alias("h"), "start").select("row", (F.col("start") + F.col("h.at")).alias("start")).select("row", "start", (F.col("start") + F.lit(width)).alias("end"))
-    return alone.union(pieces).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    alone = whole.where("contexts = 1 and doc_id > least").select("row", "doc_id", "start", (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end"))
+    each = whole.join(inner, key).select("row", "doc_id", "start", F.filter("firsts", lambda x: x["first"] < F.col("doc_id")).alias("hits")).where(F.size("hits") > 0)
+    pieces = each.select("row", "doc_id", F.explode("hits").alias("h"), "start").select("row", "doc_id", (F.col("start") + F.col("h.at")).alias("start")).select("row", "doc_id", "start", (F.col("start") + F.lit(width)).alias("end"))
+    return alone.union(pieces).groupBy("row", "doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
 def digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", _spark.row_key(F.col("doc_id"), F.col("text")))
-    ranges = repeated(rows, width, gram).withColumnRenamed("row", "_row")
+    ranges = _spark.saved(repeated(rows, width, gram).toDF("_row", "_doc", "starts", "ends"))
+    touched, others = _spark.parted(rows, "row", ranges.select("_row"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
@@ -118,5 +123,7 @@ def digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 digests.append(hashlib.sha256(b" ".join([plain[s:e] for s, e in zip(starts[k].tolist(), ends[k].tolist(), strict=True)])).hexdigest())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = rows.join(ranges, F.col("row") == F.col("_row"), "left").select("doc_id", "text", "starts", "ends")
+    # only texts that may lose something travel to their ranges
+    nothing = F.lit(None).cast("array<int>")
+    joined = touched.join(ranges, (F.col("row") == F.col("_row")) & (F.col("doc_id") == F.col("_doc")), "left").select("doc_id", "text", "starts", "ends").union(others.select("doc_id", "text", nothing, nothing))
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
