@@ -96,7 +96,7 @@ def learnable(doc_id: Column) -> Column:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """The same for repeated rows, and for nothing else."""
+    """The same for repeated rows; used together with doc_id, for nothing else."""
     return F.xxhash64(doc_id, text)
 
 
@@ -124,22 +124,28 @@ def merged(partial: DataFrame, cells: int, kind: type = np.uint8) -> np.ndarray:
     """The sum of all tasks' tallies; its size doesn't depend on the input's."""
     most = np.iinfo(kind).max
 
+    def row(k: int, total: np.ndarray) -> pa.RecordBatch:
+        tally = Tally(SLICE, kind)
+        tally.counts[:] = np.minimum(total, most)
+        one = next(tally.rows())
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), one.column(1), one.column(2)], names=one.schema.names)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        now, total = None, np.zeros(SLICE, np.int64)  # slices come in order: one is held at a time
         for batch in batches:
             for k, at, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                total = sums.setdefault(k, np.zeros(SLICE, np.int64))
+                if k != now:
+                    if now is not None:
+                        yield row(now, total)
+                    now, total = k, np.zeros(SLICE, np.int64)
                 total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, kind)
-        for k, total in sums.items():
-            tally = Tally(SLICE, kind)
-            tally.counts[:] = np.minimum(total, most)
-            for row in tally.rows():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), row.column(1), row.column(2)], names=row.schema.names)
+        if now is not None:
+            yield row(now, total)
 
     out = np.zeros(cells, kind)
-    for row in partial.repartition("slice").mapInArrow(merge, SLICES).toLocalIterator():
-        part = out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE]
-        part[np.frombuffer(row["cells"], np.uint16)] = np.frombuffer(row["counts"], kind)
+    for r in partial.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, SLICES).toLocalIterator():
+        part = out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE]
+        part[np.frombuffer(r["cells"], np.uint16)] = np.frombuffer(r["counts"], kind)
     return out
 
 
