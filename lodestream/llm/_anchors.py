@@ -19,9 +19,9 @@ LONGEST = 256
 
 
 class Contexts:
-    """The contexts of a piece: document, first unit in it, windows, anchor, two hashes of the units."""
+    """The contexts of a piece: document, first unit in it, windows, anchor, and (given two sequences of values) two hashes of the units."""
 
-    def __init__(self, values: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, width: int, gram: int):
+    def __init__(self, values: tuple[np.ndarray, ...], offsets: np.ndarray, width: int, gram: int):
         self.prefix = [_text.Prefix(v, k) for k, v in enumerate(values)]
         n = len(values[0]) - width + 1
         if n <= 0:
@@ -52,6 +52,8 @@ class Contexts:
         self.at, self.windows, self.anchor = at, size, anchor[at]
         self.doc = np.searchsorted(offsets, at, "right") - 1
         self.start = at - offsets[self.doc]
+        if len(values) < 2:
+            return
         units = (size + width - 1).astype(U)
         self.c1 = _text.mix(self.prefix[0].hash(at, at + size + width - 1) + units, 22)
         self.c2 = _text.mix(self.prefix[1].hash(at, at + size + width - 1) + units, 23)

@@ -34,17 +34,18 @@ from ._text import U
 #: Bytes of a string, and of the grams anchors are taken from.
 WIDTH, GRAM = 200, 32
 #: Bits of the table of repeated anchors; contexts of an anchor up to which they are indexed together; bytes of an index.
-BITS, TOGETHER, INDEX = 1 << 27, 2000, 1 << 20
+BITS, TOGETHER, INDEX = 1 << 27, 2000, 1 << 17
 
 
 # ---- the index ----------------------------------------------------------------
 
 def suffix_order(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes; stop: each position's closing separator (symbol 0, ordered by position)."""
-    n = len(text)
-    key, at = np.zeros(n, np.int64), np.arange(n)
+    n, at = len(text), np.arange(len(text))
+    key, left, padded = np.zeros(n, np.int64), stop - at, np.append(text, np.zeros(7, text.dtype))
     for k in range(7):
-        key = (key << 9) | np.where(at + k <= stop, text[np.minimum(at + k, n - 1)], 0)
+        key <<= 9
+        key |= padded[k : k + n] * (left >= k)
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     head = np.ones(n, bool)
@@ -69,9 +70,13 @@ def suffix_order(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """Runs of the transform, with the positions at their ends and how far each matches its neighbour there."""
+    """Runs of the transform, with the positions at their ends and how far each matches its neighbour there.
 
-    def __init__(self, parts: list[np.ndarray]):
+    Matches shorter than ``least`` count as none.
+    """
+
+    def __init__(self, parts: list[np.ndarray], least: int = 1):
+        self.least = least
         self.text = np.concatenate([x for p in parts for x in (p.astype(np.int64) + 1, [0])])
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         self.stop = np.repeat(ends, [len(p) + 1 for p in parts])
@@ -87,17 +92,23 @@ class RunIndex:
 
     def _samples(self, here: np.ndarray, there: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = np.where(real, np.minimum(self.stop[here] - here, self.stop[there] - there), 0)
-        low = np.zeros(len(here), np.int64)
-        step = 1 << max(int(most.max(initial=0)).bit_length() - 1, 0)
-        while step:  # the longest common prefix, by halving
-            longer = low + step
-            fits = longer <= most
-            end = np.where(fits, longer, 0)
-            same = fits & np.logical_and.reduce([h.hash(here, here + end) == h.hash(there, there + end) for h in self.hashes])
-            low = np.where(same, longer, low)
+        out = np.zeros(len(here), np.int64)
+
+        def same(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+            a, b = here[k], there[k]
+            return np.logical_and.reduce([h.hash(a, a + n) == h.hash(b, b + n) for h in self.hashes])
+
+        live = np.flatnonzero(most >= self.least)
+        live = live[same(live, np.full(len(live), self.least))]
+        low, step = np.full(len(live), self.least), 1 << max(int(most.max(initial=0)).bit_length() - 1, 0)
+        while step and len(live):  # the longest common prefix, by halving
+            fits = np.flatnonzero(low + step <= most[live])
+            fits = fits[same(live[fits], low[fits] + step)]
+            low[fits] += step
             step >>= 1
+        out[live] = low
         turn = np.argsort(here)
-        return here[turn], low[turn]
+        return here[turn], out[turn]
 
     def matches(self) -> np.ndarray:
         """At every position, the longest match with another place."""
@@ -111,9 +122,9 @@ class RunIndex:
 
 # ---- finding the repetitive part --------------------------------------------------
 
-def _contexts(texts: pa.Array, width: int, gram: int) -> tuple[_anchors.Contexts, np.ndarray]:
+def _contexts(texts: pa.Array, width: int, gram: int, hashed: bool = True) -> tuple[_anchors.Contexts, np.ndarray]:
     data, offsets = _text.raw(texts)
-    return _anchors.Contexts((_text.byte_values(data, 0), _text.byte_values(data, 1)), offsets, width, gram), data
+    return _anchors.Contexts(tuple(_text.byte_values(data, k) for k in range(1 + hashed)), offsets, width, gram), data
 
 
 def _repeated_anchors(rows: DataFrame, width: int, gram: int) -> np.ndarray:
@@ -121,7 +132,7 @@ def _repeated_anchors(rows: DataFrame, width: int, gram: int) -> np.ndarray:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
-            c = _contexts(piece.column(0), width, gram)[0]
+            c = _contexts(piece.column(0), width, gram, False)[0]
             yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.repeat(c.anchor, 1 + c.inner())))], names=["anchor"])
 
     twice = rows.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -163,9 +174,10 @@ def _suspects(rows: DataFrame, width: int, gram: int) -> DataFrame:
             new[np.unique(c.c1[k], return_index=True)[1]] = True
             plain = data.tobytes()
             own = [plain[a : a + n + width - 1] if x else None for a, n, x in zip(c.at[k].tolist(), c.windows[k].tolist(), new.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(c.doc[k])), *(pa.array(_text.signed(x[k])) for x in (c.anchor, c.c1, c.c2)), pa.array(c.start[k]), pa.array(c.windows[k].astype(np.int32)), pa.array(c.inner()[k]), pa.array(own, pa.binary())], names=["row", "anchor", "c1", "c2", "start", "n", "inner", "own"])
+            doc = pa.array(c.doc[k])
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(doc), piece.column(2).take(doc), *(pa.array(_text.signed(x[k])) for x in (c.anchor, c.c1, c.c2)), pa.array(c.start[k]), pa.array(c.windows[k].astype(np.int32)), pa.array(c.inner()[k]), pa.array(own, pa.binary())], names=["row", "doc_id", "anchor", "c1", "c2", "start", "n", "inner", "own"])
 
-    return rows.select("row", "text").mapInArrow(find, "row long, anchor long, c1 long, c2 long, start long, n int, inner boolean, own binary")
+    return rows.select("row", "text", "doc_id").mapInArrow(find, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, anchor long, c1 long, c2 long, start long, n int, inner boolean, own binary")
 
 
 # ---- marking ------------------------------------------------------------------------
@@ -182,7 +194,7 @@ def _indexed(contexts: DataFrame, width: int) -> DataFrame:
         held, size, names = [], 0, ["anchor", "c1", "c2", "first", "last"]
 
         def flush() -> pa.RecordBatch:
-            deep = RunIndex([np.frombuffer(x[3], np.uint8) for x in held]).matches() >= width
+            deep = RunIndex([np.frombuffer(x[3], np.uint8) for x in held], width).matches() >= width
             at, out = 0, []
             for a, c1, c2, text in held:
                 out += [(a, c1, c2, s, e) for s, e in _runs(deep[at : at + len(text) - width + 1])]
@@ -220,27 +232,29 @@ def _counted(contexts: DataFrame, width: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
-    """row, starts, ends: the ranges of bytes that repeated strings cover."""
-    found = _spark.saved(_suspects(rows, width, gram))
+    """row, doc_id, starts, ends: the ranges of bytes that repeated strings cover."""
+    found = _spark.written(_suspects(rows, width, gram))
     key = ["anchor", "c1", "c2"]
     same = _spark.saved(found.groupBy(*key).agg(F.count("*").alias("copies"), F.max("inner").alias("inner")))
     many = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.max("inner").alias("any_inner"))
-    split = same.drop("inner").join(many.where("contexts > 1 or any_inner"), "anchor")
-    texts = found.where("own is not null").select(*key, "own").join(split, key).groupBy(*key).agg(F.first("own").alias("own"), F.first("copies").alias("copies"), F.first("contexts").alias("contexts"))
+    split = _spark.saved(same.drop("inner").join(many.where("contexts > 1 or any_inner"), "anchor"))
+    first, _ = _spark.parted(found.where("own is not null").select(*key, "own"), "c1", split.select("c1"))
+    texts = first.join(split, key).groupBy(*key).agg(F.first("own").alias("own"), F.first("copies").alias("copies"), F.first("contexts").alias("contexts"))
     # a context that occurs twice is repeated as a whole; the others are looked up in their anchor's index
-    texts = _spark.saved(texts)
+    texts = _spark.written(texts)
     marked = _indexed(texts.where(F.col("contexts") <= together), width).union(_counted(texts.where(F.col("contexts") > together), width))
-    whole = found.select("row", *key, "start", "n").join(same, key)
-    copies = whole.where("copies > 1").select("row", "start", (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end"))
-    partly = whole.where("copies = 1").join(marked, key).select("row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + F.lit(width - 1)).alias("end"))
-    return copies.union(partly).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    whole = found.select("row", "doc_id", *key, "start", "n").join(same, key)
+    copies = whole.where("copies > 1").select("row", "doc_id", "start", (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end"))
+    partly = whole.where("copies = 1").join(marked, key).select("row", "doc_id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + F.lit(width - 1)).alias("end"))
+    return copies.union(partly).groupBy("row", "doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
 def digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").withColumn("row", _spark.row_key(F.col("doc_id"), F.col("text")))
-    ranges = repeated(rows, width, gram, together).withColumnRenamed("row", "_row")
+    ranges = _spark.saved(repeated(rows, width, gram, together).toDF("_row", "_doc", "starts", "ends"))
+    touched, others = _spark.parted(rows, "row", ranges.select("_row"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
@@ -254,5 +268,7 @@ def digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, together: int
                 digests.append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(ranges, F.col("row") == F.col("_row"), "left").select("doc_id", "text", "starts", "ends")
+    # only texts that may lose something travel to their ranges
+    nothing = F.lit(None).cast("array<bigint>")
+    joined = touched.join(ranges, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "text", "starts", "ends").union(others.select("doc_id", "text", nothing, nothing))
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
