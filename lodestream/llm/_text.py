@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text worked on at once; a longer text is a piece of its own.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _TABLE = [_rng.integers(0, 1 << 64, 512, dtype=U) | U(1) for _ in range(2)]
