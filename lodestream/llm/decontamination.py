@@ -30,7 +30,7 @@ from . import _text
 from ._text import U
 
 #: Characters of a q-gram, of a chunk and between chunks; edits by character; least characters of an item; characters of a block of items.
-Q, CHUNK, STRIDE, RATE, LEAST, BLOCK = 12, 128, 64, 0.06, 40, 1 << 21
+Q, CHUNK, STRIDE, RATE, LEAST, BLOCK = 12, 96, 24, 0.06, 40, 1 << 21
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
