@@ -83,15 +83,18 @@ class Model:
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-        goal, w = self.code[y], np.zeros((DIMENSIONS + 1, self.code.shape[1]))
         share = 1.0 / np.bincount(y, minlength=len(self.languages))[y]
-        share = (share / share.sum())[:, None]
+        share, goal = (share / share.sum())[:, None].astype(np.float32), self.code[y].astype(np.float32)
+        # few documents: move along their combinations, whose products are taken once
+        few = len(x1) <= x1.shape[1]
+        rows, back = (x1 @ x1.T, lambda r: r) if few else (x1, lambda r: x1.T @ r)
+        w = np.zeros((rows.shape[1], goal.shape[1]), np.float32)
         speed = np.zeros_like(w)
         for _ in range(200):
-            pull = x1.T @ (share * goal / (1 + np.exp(np.clip(goal * (x1 @ w), -30, 30)))) - 1e-5 * w
-            speed = 0.9 * speed + pull
-            w += 5.0 * speed
-        return w.astype(np.float32)
+            pull = back(share * goal / (1 + np.exp(np.clip(goal * (rows @ w), -30, 30)))) - np.float32(1e-5) * w
+            speed = np.float32(0.9) * speed + pull
+            w += np.float32(5.0) * speed
+        return x1.T @ w if few else w
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[:-1] + self.weights[-1]
