@@ -5,9 +5,10 @@ taken on average: whole copies are certain, the fraction is an inclusion
 probability.  The flight phase moves these probabilities through the null space
 of the constraints (documents and words of the source stay as they are in
 expectation), a few units at a time, until at most two of a block are undecided.
-What blocks leave undecided forms the next level's blocks; when one block of a
-source is left, the landing rounds its last two units with the least error in
-words.  Blocks are hashed parts of a source of bounded expected size, so a source of any
+What blocks leave undecided forms the next level's blocks, with a bounded number of
+decided units beside it; when one block of a source is left, whatever the other
+sources' sizes, the landing rounds its last two units with the least error in
+words and turns others over as long as that brings the words nearer.  Blocks are hashed parts of a source of bounded expected size, so a source of any
 size is shared out, and all chance comes from hashes: reruns agree.
 
 Defined results: null texts and blank ones have size 0; null is a source of its own,
@@ -30,10 +31,8 @@ from . import _spark, _text
 
 #: Weights by source order, repeated; share of all words in the mix; most times a source is taken.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-#: Units of a block.
+#: Units of a block, and about the decided units that all blocks of a source hand on to its landing.
 BLOCK = 2048
-#: Units of the last block that the landing may turn over besides.
-TURNS = 8
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -94,37 +93,45 @@ def fly(p: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
 
 
 def land(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The last undecided units, rounded with the least error in words, then in documents; then a few of the block's units turned over as long as that brings the words nearer."""
+    """The last undecided units, rounded with the least error in words, then in documents; then units of the block turned over, each at most once, as long as that brings the words nearer."""
     p, goal, left = p.copy(), float((p * sizes).sum()), np.flatnonzero((p > 0) & (p < 1))
     if len(left):
         ways = [np.array([way >> k & 1 for k in range(len(left))]) for way in range(1 << len(left))]
         p[left] = min(ways, key=lambda x: (round(abs(float(((x - p[left]) * sizes[left]).sum())), 6), abs(float((x - p[left]).sum()))))
-    for _ in range(TURNS if len(p) else 0):
+    fresh = np.ones(len(p), bool)
+    while fresh.any():
         off = float((p * sizes).sum()) - goal
-        after = np.abs(off + np.where(p > 0.5, -sizes, sizes))
+        after = np.where(fresh, np.abs(off + np.where(p > 0.5, -sizes, sizes)), np.inf)
         k = int(after.argmin())
         if after[k] > abs(off) - 0.5:
             break
-        p[k] = 1 - p[k]
+        p[k], fresh[k] = 1 - p[k], False
     return p
 
 
-def _level(rows: DataFrame, level: int, last: bool) -> DataFrame:
-    """Each block's flight; with last, the landing too."""
+def _level(rows: DataFrame, level: int) -> DataFrame:
+    """Each block's flight, and the landing of a source that is one block; _on: goes on to the next level."""
 
     def block(table: pa.Table) -> pa.Table:
         sizes, h = table["_size"].to_numpy().astype(float), table["_h"].to_numpy()
-        order = np.lexsort((h, -sizes))  # large documents first: what is left undecided is small
-        source = table["source"][0].as_py()
+        order = np.lexsort((h, -sizes))  # one order for every run; units much longer than the others stay undecided to the last, the landing makes up for them
+        source, n = table["source"][0].as_py(), table["_n"][0].as_py()
         given = table["_p"].to_numpy()[order]
         p = fly(given, sizes[order].tolist(), crc32(f"{source}/{level}/{table['_block'][0].as_py()}".encode()))
-        if last and 0 < given.min() and given.max() < 1:
+        on = np.zeros(len(p), bool)
+        if n > BLOCK:
+            on = (p > 0) & (p < 1)
+            if on.any():
+                spare = np.flatnonzero(~on)
+                on[spare[np.argsort(h[order][spare], kind="stable")[: max(2, -(-BLOCK * BLOCK // n))]]] = True
+        elif ((given > 0) & (given < 1)).any():
             p = land(p, sizes[order])
-        out = np.empty(len(p))
-        out[order] = p
-        return table.set_column(table.schema.get_field_index("_p"), "_p", pa.array(out)).drop_columns(["_block"])
+        out, goes = np.empty(len(p)), np.empty(len(p), bool)
+        out[order], goes[order] = p, on
+        table = table.set_column(table.schema.get_field_index("_p"), "_p", pa.array(out))
+        return table.set_column(table.schema.get_field_index("_on"), "_on", pa.array(goes)).drop_columns(["_block"])
 
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(BLOCK))) if not last else F.lit(1)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(BLOCK)))
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(level), "_h"), blocks).cast("long"))
     return dealt.groupBy("source", "_block").applyInArrow(block, rows.schema)
 
@@ -132,20 +139,19 @@ def _level(rows: DataFrame, level: int, last: bool) -> DataFrame:
 def _mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     aims = _spark.saved(targets(rows.select("source", "_size"), weights, share, most))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    right = aims.select(F.col("source").alias("_s"), "source_size", "target", F.floor(times).alias("_whole"), (times - F.floor(times)).alias("_p"), F.col("source_rows").alias("_n"))
+    right = aims.select(F.col("source").alias("_s"), "source_size", "target", F.floor(times).alias("_whole"), (times - F.floor(times)).alias("_p"), F.lit(True).alias("_on"), F.col("source_rows").alias("_n"))
     now, level, done = rows.join(right, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), 0, None
     biggest = aims.agg(F.max("source_rows")).first()[0] or 0
     while True:
-        last = biggest <= BLOCK
-        flown = _spark.saved(_level(now, level, last))
-        decided = flown if last else flown.where("_p in (0.0, 1.0)")
+        flown = _spark.saved(_level(now, level))
+        decided = flown.where("not _on")
         done = decided if done is None else done.union(decided)
-        if last:
+        if biggest <= BLOCK:
             break
-        left = flown.where("_p not in (0.0, 1.0)").drop("_n")
-        counts = left.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n"))
+        left = flown.where("_on").drop("_n")
+        counts = left.where("_p not in (0.0, 1.0)").groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n"))
         biggest = counts.agg(F.max("_n")).first()[0] or 0
-        now, level = left.join(counts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").select(*rows.columns, "source_size", "target", "_whole", "_p", "_n"), level + 1
+        now, level = left.join(counts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").select(*rows.columns, "source_size", "target", "_whole", "_p", "_on", "_n"), level + 1
     return done.withColumn("_copies", (F.col("_whole") + F.col("_p")).cast("int"))
 
 

@@ -239,6 +239,16 @@ def test_mix(name, request):
     assert key(got) == key(mixing.digest(docs.repartition(3)).collect())
 
 
+def test_mix_lands_every_source(spark):
+    """One source above a block, small ones beside it, very long documents in both."""
+    rng, rows = np.random.default_rng(11), []
+    for s, (source, n) in enumerate((("s0", 3 * mixing.BLOCK), ("s1", 150), ("s2", 150), ("s3", 150))):
+        sizes = [*rng.integers(20, 60, n).tolist(), 4000 if n < mixing.BLOCK else 30_000]
+        rows += [(1_000_000 * s + k, "w " * size, source) for k, size in enumerate(sizes)]
+    got = mixing.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy(F.floor(F.col("doc_id") / 1_000_000)).agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == len(rows) and all(abs(r["taken"] - r["target"]) < 20 for r in got)
+
+
 def test_mixture_repeats_whole_rows(odd):
     out = mixing.mixture(odd)
     assert out.columns == odd.columns
