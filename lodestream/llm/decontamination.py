@@ -6,7 +6,7 @@ character q-grams with it, on no more than e + 1 diagonals.  So the shared
 q-grams are counted in bands of 2 * (e + 1) diagonals that overlap by half; only
 bands that reach that number are kept, and an alignment within the band decides.
 
-Texts are compared in lower case (A-Z), with any white space as one space.  Every
+Texts are compared under full Unicode case folding, with any white space (ASCII's) as one space.  Every
 whole document is searched.  The benchmark is a stated query set: it is taken in
 blocks whose index has a bounded size, each of which is held against all documents, so it may
 be of any size.
@@ -31,9 +31,13 @@ from ._text import U
 
 #: Characters of a q-gram, of a chunk and between chunks; edits by character; least characters of an item; characters of a block of items.
 Q, CHUNK, STRIDE, RATE, LEAST, BLOCK = 12, 96, 24, 0.06, 40, 1 << 21
-_FOLD = np.arange(256, dtype=np.uint32)
-_FOLD[65:91] += 32
+_FOLDED = [chr(c).casefold() for c in range(0x20000)]  # no case beyond
+_FOLD = np.array([ord(x[0]) for x in _FOLDED], np.uint32)
 _FOLD[[9, 10, 11, 12, 13]] = 32
+#: Code points that fold to more than one (as sharp s to ss), and what follows their first.
+_MORE = {c: [ord(y) for y in x[1:]] for c, x in enumerate(_FOLDED) if len(x) > 1}
+_LONG = np.array([len(x) for x in _FOLDED], np.uint8)
+del _FOLDED
 _HASH = 0x9E3779B97F4A7C15
 
 
@@ -42,8 +46,15 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     at = lead[offsets]
-    low = points < 256
-    points = np.where(low, _FOLD[np.where(low, points, 0)], points)
+    known = points if not len(points) or points.max() < len(_FOLD) else np.where(points < len(_FOLD), points, 0)
+    n = _LONG[known]
+    many = np.flatnonzero(n > 1)
+    raw, points = points, _FOLD[known] if known is points else np.where(points < len(_FOLD), _FOLD[known], points)
+    if len(many):
+        first = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        points, at = np.repeat(points, n), first[at]
+        for k in many:
+            points[first[k] + 1 : first[k + 1]] = _MORE[int(raw[k])]
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
     inner = at[(at > 0) & (at < len(points))]

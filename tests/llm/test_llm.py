@@ -280,6 +280,30 @@ def test_passages(spark, data, sample, odd, empty):
     assert decontamination.searched(empty, items).count() == 0
 
 
+def test_passages_in_any_case(spark):
+    """Upper-cased French, Spanish, German, Greek and Turkish items are found as English ones are."""
+    texts = [
+        "Les élèves étaient à l'école près de la forêt, où les érables âgés perdent déjà leurs feuilles; le maître répète sa leçon à côté.",
+        "El niño pequeño soñó con una montaña lejana; mañana irá también su compañía, según él, a la región más cálida del país vecino.",
+        "Die Straße war weiß, und draußen saß ein großer Spieß; dreißig Füße maß er, heißt es, außer am Fluß, wo er bloß süßes aß und genoß.",
+        "Ο σοφός δάσκαλος είπε στους μαθητές ότι ο δρόμος είναι μακρύς και οι καιροί δύσκολοι, όμως ο κόπος τους αξίζει πάντα τελικά.",
+        "The pupils were at school near the wood, where old maples already shed their leaves, and the teacher repeats the lesson at once.",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"ß İ {k} " + x.upper() + " et fin") for k, x in enumerate(texts)], "doc_id long, text string")
+    hits = decontamination.searched(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in hits) == [(k, k, 0) for k in range(5)]
+
+
+def test_folded_offsets():
+    texts = ["ßA \n B", "", "ŒUVRE ŉx", "日本 😀Z", None, "ﬃ"]
+    import pyarrow as pa
+
+    points, offsets = decontamination.characters(*decontamination._text.raw(pa.array(texts)))
+    got = ["".join(map(chr, points[a:b])) for a, b in zip(offsets, offsets[1:])]  # noqa: B905
+    assert got == [re.sub(r"\s+", " ", (x or "").casefold()) for x in texts]
+
+
 def test_banded_alignment_is_edit_distance():
     rng = np.random.default_rng(6)
     for _ in range(60):
