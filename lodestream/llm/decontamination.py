@@ -123,21 +123,16 @@ class Index:
         step = self.edits[chunk] + 1
         diagonal = at - place + CHUNK  # never negative
         wide, high = np.int64(len(self.chunks)), np.int64(len(points) + 2 * CHUNK)
-        out: set[tuple[int, int, int]] = set()
+        codes = []
         for shift in (0, 1):  # bands [b * step, (b + 2) * step)
             band = diagonal // step - shift
             ok = band >= 0
-            code = (doc[ok] * wide + chunk[ok]) * high + band[ok]
-            codes, count = np.unique(code, return_counts=True)
-            out.update(((int(c), int(m)) for c, m in zip(codes, count, strict=True)))
-        total: dict[int, int] = {}
-        for code, m in out:
-            total[code] = total.get(code, 0) + m
-        for code, m in total.items():
-            band, rest = code % int(high), code // int(high)
-            chunk_no, d = rest % int(wide), rest // int(wide)
-            if m >= self.least[chunk_no]:
-                yield d, chunk_no, band * int(self.edits[chunk_no] + 1) - CHUNK
+            codes.append((doc[ok] * wide + chunk[ok]) * high + band[ok])
+        code, count = np.unique(np.concatenate(codes), return_counts=True)  # both halves of a band add up
+        chunk = code // high % wide
+        enough = count >= self.least[chunk]
+        code, chunk = code[enough], chunk[enough]
+        yield from zip((code // high // wide).tolist(), chunk.tolist(), (code % high * (self.edits[chunk] + 1) - CHUNK).tolist(), strict=True)
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int]:

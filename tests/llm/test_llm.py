@@ -304,6 +304,16 @@ def test_folded_offsets():
     assert got == [re.sub(r"\s+", " ", (x or "").casefold()) for x in texts]
 
 
+def test_equal_halves_of_a_band_add_up():
+    """13 q-grams on each side of a half-band's edge are 26, and 25 are asked for."""
+    item = "".join(chr(0x4E00 + k) for k in range(96))
+    index = decontamination.Index([(7, item)])
+    for lead in range(2 * index.edits[0] + 2):
+        text = "-" * lead + item[:24] + "-" * 7 + item[30:54]
+        points = np.array([ord(c) for c in text], np.uint32)
+        assert 0 in {c for _, c, _ in index.candidates(points, np.array([0, len(points)]))}, lead
+
+
 def test_banded_alignment_is_edit_distance():
     rng = np.random.default_rng(6)
     for _ in range(60):
