@@ -1,6 +1,9 @@
 """Benchmark decontamination: q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping chunks.  A chunk of m characters that
+Benchmark items are cut into overlapping chunks, long ones and, so that excerpts of
+an item are found too, short ones: a document holds an item if it holds a chunk of
+either length; short ones are tried where no long one is held.  Any excerpt of
+SHORT + STEP - 1 characters has a whole short chunk.  A chunk of m characters that
 occurs in a document with at most e edits shares m - q + 1 - q * e of its
 character q-grams with it, on no more than e + 1 diagonals.  So the shared
 q-grams are counted in bands of 2 * (e + 1) diagonals that overlap by half; only
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from . import _text
 from ._text import U
 
-#: Characters of a q-gram, of a chunk and between chunks; edits by character; least characters of an item; characters of a block of items.
+#: Characters of a short chunk and between short chunks.
+SHORT, STEP = 48, 4
+#: Characters of a q-gram, of a long chunk and between long chunks; edits by character; least characters of an item; characters of a block of items.
 Q, CHUNK, STRIDE, RATE, LEAST, BLOCK = 12, 96, 24, 0.06, 40, 1 << 21
 _FOLDED = [chr(c).casefold() for c in range(0x20000)]  # no case beyond
 _FOLD = np.array([ord(x[0]) for x in _FOLDED], np.uint32)
@@ -72,12 +77,18 @@ def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
     return _text.mix(out, 41)
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1 ... of n numbers each."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Index:
-    """The chunks of a block of items and their q-grams."""
+    """The chunks of a block of items and the q-grams of the items; a q-gram's chunks of a kind are numbered in a row."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.chunks: list[tuple[int, np.ndarray, int, int]] = []  # item, characters, edits, shared q-grams asked for
-        keys, chunks, places = [], [], []
+        self.chunks: list[tuple[int, int, int, int, bool]] = []  # item, first and last character among all items', edits, short
+        keys, places, begins, low, many = [], [], [], ([], []), ([], [])
+        texts, at = [], 0
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             points = characters(raw, np.array([0, len(raw)]))[0]
@@ -87,21 +98,30 @@ class Index:
                 points = points[1:]
             if len(points) < LEAST:
                 continue
-            last = max(0, len(points) - CHUNK)
-            for start in sorted({*range(0, last, STRIDE), last}):
-                own = points[start : start + CHUNK]
-                edits = int(RATE * len(own))
-                g = grams(own)
-                keys.append(g)
-                chunks.append(np.full(len(g), len(self.chunks)))
-                places.append(np.arange(len(g)))
-                self.chunks.append((item, own, edits, len(g) - Q * edits))
-        self.edits = np.array([c[2] for c in self.chunks], np.int64)
-        self.least = np.array([c[3] for c in self.chunks], np.int64)
+            g = grams(points)
+            place = np.arange(len(g))
+            for kind, (size, stride) in enumerate(((CHUNK, STRIDE), (SHORT, STEP))):
+                size = min(size, len(points))
+                last = len(points) - size
+                starts = np.array(sorted({*range(0, last, stride), last}) if kind == 0 or last else [], np.int64)
+                first = np.searchsorted(starts, place - (size - Q))
+                low[kind].append(len(self.chunks) + first)
+                many[kind].append(np.searchsorted(starts, place, "right") - first)
+                begins.append(starts)
+                self.chunks += [(item, at + int(x), at + int(x) + size, int(RATE * size), kind == 1) for x in starts]
+            keys.append(g)
+            places.append(place)
+            texts.append(points)
+            at += len(points)
+        self.points = np.concatenate(texts) if texts else np.empty(0, np.uint32)
+        self.begin = np.concatenate(begins) if begins else np.empty(0, np.int64)  # within the item
+        self.edits = np.array([c[3] for c in self.chunks], np.int64)
+        self.least = np.array([c[2] - c[1] - Q + 1 - Q * c[3] for c in self.chunks], np.int64)
         key = np.concatenate(keys) if keys else np.empty(0, U)
         turn = np.argsort(key, kind="stable")
         self.key = key[turn]
-        self.chunk, self.place = ((np.concatenate(x)[turn] if x else np.empty(0, np.int64)) for x in (chunks, places))
+        self.place, *runs = ((np.concatenate(x)[turn] if x else np.empty(0, np.int64)) for x in (places, *low, *many))
+        self.low, self.many = runs[:2], runs[2:]
         self.distinct, self.first = np.unique(self.key, return_index=True)
         self.first = np.append(self.first, len(self.key))
         self.seen = np.zeros(1 << 22, bool)
@@ -117,8 +137,10 @@ class Index:
         true = self.distinct[k] == g[at]
         at, k = at[true], k[true]
         n = self.first[k + 1] - self.first[k]
-        entry = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at, chunk, place = np.repeat(at, n), self.chunk[entry], self.place[entry]
+        at, entry = np.repeat(at, n), _runs(self.first[k], n)
+        chunk = np.concatenate([_runs(low[entry], many[entry]) for low, many in zip(self.low, self.many, strict=True)])
+        at, entry = (np.concatenate([np.repeat(x, many[entry]) for many in self.many]) for x in (at, entry))
+        place = self.place[entry] - self.begin[chunk]
         doc = np.searchsorted(offsets, at, "right") - 1
         step = self.edits[chunk] + 1
         diagonal = at - place + CHUNK  # never negative
@@ -173,8 +195,12 @@ def searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int]]:
     points, offsets = characters(*_text.raw(texts))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    whole: set[tuple[int, int]] = set()  # held by a long chunk; an item's long chunks come first
     for d, chunk, first in index.candidates(points, offsets):
-        item, own, edits, _ = index.chunks[chunk]
+        item, begin, end, edits, short = index.chunks[chunk]
+        if short and (d, item) in whole:
+            continue
+        own = index.points[begin:end]
         text, low = points[offsets[d] : offsets[d + 1]], first - int(offsets[d])
         if (known := best.get((d, item))) and known[0] == 0:
             continue
@@ -186,6 +212,8 @@ def _matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], tuple[int,
             if n > edits:
                 continue
             hit = (n, max(0, end - len(own)), end)
+        if not short:
+            whole.add((d, item))
         if not known or hit < known:
             best[d, item] = hit
     return best

@@ -304,6 +304,21 @@ def test_folded_offsets():
     assert got == [re.sub(r"\s+", " ", (x or "").casefold()) for x in texts]
 
 
+def test_excerpts_at_every_offset(data):
+    """Of each item, every excerpt of SHORT + STEP - 1 characters is found wherever it begins, and so is one edited in a way that RATE allows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    items = [(k, " ".join(t.split())) for k, t in enumerate(pq.read_table(f"{data}/benchmark.parquet")["text"].to_pylist()[:3])]
+    index, n = decontamination.Index(items), decontamination.SHORT + decontamination.STEP - 1
+    docs = [(k, t[a : a + n]) for k, t in items for a in range(len(t) - n + 1)]
+    edited = [(k, x[:15] + "#" + x[16:33] + "#" + x[34:]) for k, x in docs]
+    for cases, most in ((docs, 0), (edited, 2)):
+        found = decontamination._matches(index, pa.array([f"{d} before it {x} and after {d}" for d, (_, x) in enumerate(cases)]))
+        assert all(found.get((d, k), (9,))[0] <= most for d, (k, _) in enumerate(cases))
+    assert not decontamination._matches(index, pa.array([t[:40] for _, t in items]))
+
+
 def test_equal_halves_of_a_band_add_up():
     """13 q-grams on each side of a half-band's edge are 26, and 25 are asked for."""
     item = "".join(chr(0x4E00 + k) for k in range(96))
