@@ -424,6 +424,44 @@ def test_licences(odd, sample, empty):
     assert licences.scanned(odd).count() == odd.count() and licences.scanned(empty).count() == 0
 
 
+ORIGINALS = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0',
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful.\n\nYou should have received a copy of the GNU General Public License along with this program.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+@pytest.mark.parametrize("wrap", ["", "\n", "\n# ", "\r\n * "])
+def test_licences_from_their_own_words(wrap):
+    import textwrap
+
+    texts = {**ORIGINALS, "BSD-2-Clause": ORIGINALS["BSD-3-Clause"].split("\n\n3.")[0]}
+    if wrap:
+        texts = {k: (wrap * 2).join(wrap.join(textwrap.wrap(part, 60)) for part in t.split("\n\n")) for k, t in texts.items()}
+    assert {k: licences.recognised("Some words before.\n\n" + t + "\n\nSome words after.")[0] for k, t in texts.items()} == {k: [k] for k in texts}
+    ids = {name for t in texts.values() for name in licences.recognised(t)[1]}
+    assert ids >= {"mit.grant", "mit.notice", "apache2.under_the", "apache2.may_not", "apache2.copy", "gpl.free", "gpl.copy", "mpl2.form", "mpl2.copy", "bsd.endorse", "isc.grant", "unlicense"}
+
+
+def test_every_licence_sentence_and_rule():
+    titles = {name: text for text, name in licences.TITLES.items()}
+    known = {**licences.SENTENCES, **titles}
+    for name, text in known.items():
+        for case in (text, text.upper(), text.replace(" ", "\n", 5) if name in licences.SENTENCES else text):
+            assert licences.recognised("Before this.\n\n" + case + ".\nAfter")[1] == [name], name
+    for licence, names in licences.RULES:
+        assert licences.recognised("\n\n".join(known[n] + "." for n in names))[0] == [licence], names
+    cases = {
+        "This project is licensed under the MIT License, see below": ["MIT"], "MIT License\n\nCopyright (c) 2020 A": ["MIT"], "unlike the MIT License it is long": [], "It is not licensed under the MIT License.": [],
+        "Apache License\n    Version 2.0, January 2004": ["Apache-2.0"], "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007": ["GPL-3.0"], "Licensed under the GNU General Public License, version 3 or later.": ["GPL-3.0-or-later"], "relicensed under the MIT Licenses": [],
+    }
+    assert {k: licences.recognised(k)[0] for k in cases} == cases
+
+
 # ---- the pipeline ------------------------------------------------------------------------------------------
 
 def test_pipeline(spark, data, sample):
