@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lang.reader import ParseError
 from ..lang.subscription import Subscription, parse
-from ..plans.match import passes
+from ..plans.match import filtered, survives
 
 #: Seconds a retry waits at most.
 LONGEST_WAIT = 900
@@ -51,13 +51,13 @@ def grant_filter(text: str) -> Subscription:
 
 
 def allowed(events: DataFrame, text: str) -> DataFrame:
-    return events.where(passes(grant_filter(text)))
+    return filtered(events, grant_filter(text))
 
 
 def split_emits(events: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Events a producer may send, and those it may not."""
-    ok = passes(grant_filter(text))
-    return events.where(ok), events.where(~ok)
+    marked = survives(events, grant_filter(text))
+    return marked.where("survives").drop("survives"), marked.where("not survives").drop("survives")
 
 
 def token_fingerprint(token: Column) -> Column:

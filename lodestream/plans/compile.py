@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lang import expression as X
@@ -70,12 +70,13 @@ def text_value(column: Column) -> Value:
     return Value(("null", "str"), lambda k: column.isNull() if k == "null" else column.isNotNull() if k == "str" else F.lit(False), lambda k: column)
 
 
-def variant_value(v: Column) -> Value:
-    kind = F.schema_of_variant(v)
+def variant_value(v: Column, kind: Column | None = None) -> Value:
+    """A variant; ``kind`` is its schema's text where that was read before."""
+    kind = F.schema_of_variant(v) if kind is None else kind
 
     def is_(k: str) -> Column:
         return {
-            "null": lambda: v.isNull() | F.is_variant_null(v),
+            "null": lambda: kind.isNull() | (kind == "VOID"),
             "bool": lambda: kind == "BOOLEAN",
             "num": lambda: kind.isin(*_NUMBERS) | kind.startswith("DECIMAL"),
             "str": lambda: kind == "STRING",
@@ -105,35 +106,74 @@ def step_into(v: Column, steps: tuple[str, ...]) -> Column:
     return F.try_variant_get(v, "$" + held, "variant") if held else v
 
 
-def extracted(v: Column, name: str) -> list[Column]:
-    """A variant's kind and its readings as columns of this name, so that many conditions read it once."""
-    value = variant_value(v)
+def payload_paths(e: Any) -> set[X.Path]:
+    """The payload paths an expression reads."""
+    if isinstance(e, X.Path):
+        return {e} if e.root == "payload" else set()
+    parts = e if isinstance(e, tuple) else [getattr(e, f.name) for f in fields(e)] if is_dataclass(e) else []
+    return set().union(*map(payload_paths, parts))
+
+
+def with_paths(events: DataFrame, paths: set[tuple[str, ...]]) -> tuple[DataFrame, dict[tuple[str, ...], str]]:
+    """The events with each payload path and its kind as columns, and the names of these.
+
+    Columns made by ``inline`` stay apart: a filter isn't pushed through it, which
+    would put the reading of the payload, and its parsing, in place of every mention.
+    """
+    known = {steps: f"_path{k}" for k, steps in enumerate(sorted(paths))}
+    if not known:
+        return events, known
+    values = [step_into(F.col("payload"), steps).alias(name) for steps, name in known.items()]
+    kinds = [F.schema_of_variant(name).alias(f"{name}_schema") for name in known.values()]
+    return events.select("*", F.inline(F.array(F.struct(*values)))).select("*", F.inline(F.array(F.struct(*kinds)))), known
+
+
+def extracted(name: str) -> list[Column]:
+    """A path's kind and its readings (see ``with_paths``) as columns of this name, so that many conditions read it once."""
+    value = variant_value(F.col(name), F.col(f"{name}_schema"))
     kind = F.lit(None).cast("string")
-    for k in reversed(value.kinds[1:]):
+    for k in reversed(value.kinds):
         kind = F.when(value.is_(k), F.lit(k)).otherwise(kind)
     whole = F.when(value.whole, value.read("long"))
     readings = (F.when(value.is_(k), value.read(k)) for k in ("num", "str", "bool"))
-    return [F.coalesce(F.when(value.is_("null"), F.lit("null")), kind).alias(f"{name}_kind"), whole.alias(f"{name}_long"), *(r.alias(f"{name}_{k}") for r, k in zip(readings, ("num", "str", "bool"), strict=True))]
+    nested = F.when(value.is_("list") | value.is_("map"), value.read("list"))
+    return [kind.alias(f"{name}_kind"), whole.alias(f"{name}_long"), nested.alias(f"{name}_json"), *(r.alias(f"{name}_{k}") for r, k in zip(readings, ("num", "str", "bool"), strict=True))]
 
 
-def extracted_value(name: str, v: Column) -> Value:
+def extracted_value(name: str) -> Value:
     kinds = ("null", "bool", "num", "str", "list", "map")
-    return Value(kinds, lambda k: F.col(f"{name}_kind") == k, lambda k: F.to_json(v) if k in ("list", "map") else F.col(f"{name}_{k}"), F.col(f"{name}_long").isNotNull())
+    return Value(kinds, lambda k: F.col(f"{name}_kind") == k, lambda k: F.col(f"{name}_{'json' if k in ('list', 'map') else k}"), F.col(f"{name}_long").isNotNull())
+
+
+def value_key(v: Value) -> Column:
+    """A text that is the same for equal values (numbers are compared as doubles, so unequal ones may share it)."""
+    ways = {"null": lambda: F.lit("z"), "bool": lambda: v.read("bool").cast("string"), "num": lambda: F.concat(F.lit("n"), (v.read("num") + 0.0).cast("string")), "str": lambda: F.concat(F.lit("s"), v.read("str"))}
+    out = F.lit(None).cast("string")
+    for k in v.kinds:
+        out = F.when(v.is_(k), ways.get(k, lambda: F.concat(F.lit("j"), v.read("list")))()).otherwise(out)
+    return out
 
 
 class Compiler:
     """Expressions over the columns of an event; prefixes tell an origin's columns from an event's.
 
-    ``known`` names the columns of payload paths that are extracted already.
+    ``known`` names the columns of payload paths (see ``with_paths``); with ``read``, of their readings (see ``extracted``).
     """
 
-    def __init__(self, event: str = "", origin: str | None = None, parameter: Callable[[int, str], Column] | None = None, known: dict[tuple[str, ...], str] | None = None):
-        self.event, self.origin, self.parameter, self.known = event, origin, parameter, known or {}
+    def __init__(self, event: str = "", origin: str | None = None, parameter: Callable[[int, str], Column] | None = None, known: dict[tuple[str, ...], str] | None = None, known_origin: dict[tuple[str, ...], str] | None = None, read: bool = False):
+        self.event, self.origin, self.parameter, self.known, self.known_origin, self.read = event, origin, parameter, known or {}, known_origin or {}, read
 
     def column(self, name: str, of_origin: bool = False) -> Column:
         prefix = self.origin if of_origin else self.event
         return F.col(f"{prefix}.{name}" if prefix else name)
 
+    def variant(self, path: X.Path) -> tuple[Column, Column | None]:
+        """A payload path's variant, and its kind where that is a column."""
+        name = (self.known_origin if path.origin else self.known).get(path.steps)
+        if name is None or self.read:
+            return step_into(self.column("payload", path.origin), path.steps), None
+        return self.column(name, path.origin), self.column(f"{name}_schema", path.origin)
+
     # ---- values
 
     def value(self, e: Any) -> Value:
@@ -147,17 +187,21 @@ class Compiler:
                 return out
             case X.Items(items):
                 if all(isinstance(x, X.Literal) for x in items):
-                    text = F.to_json(F.parse_json(F.lit(json.dumps([x.value for x in items]))))
-                else:
-                    text = F.to_json(F.try_parse_json(F.concat(F.lit("["), F.concat_ws(",", *(_json_text(self.value(x)) for x in items)), F.lit("]"))))
-                return _static("list", text)
+                    return _static("list", F.to_json(F.parse_json(F.lit(json.dumps([x.value for x in items])))))
+                values = [self.value(x) for x in items]
+                errors = [v.error for v in values if v.error is not None]
+                text = F.to_json(F.try_parse_json(F.concat(F.lit("["), F.concat_ws(",", *map(_json_text, values)), F.lit("]"))))
+                return _static("list", text, error=_any(errors) if errors else None)
             case X.Path(root, steps, of_origin):
                 if of_origin and self.origin is None:
                     return _static("null", F.lit(None).cast("string"), error=F.lit(True))
                 if root != "payload":
                     return _static("null", F.lit(None).cast("string")) if steps else text_value(self.column(root, of_origin))
-                at = step_into(self.column("payload", of_origin), steps)
-                return extracted_value(self.known[steps], at) if steps in self.known and not of_origin else variant_value(at)
+                name = (self.known_origin if of_origin else self.known).get(steps)
+                if name and self.read:
+                    prefix = self.origin if of_origin else self.event
+                    return extracted_value(f"{prefix}.{name}" if prefix else name)
+                return variant_value(*self.variant(e))
             case X.Size(inner):
                 n = self._size(inner)
                 out = _static("num", n, True, n.isNull())
@@ -169,10 +213,11 @@ class Compiler:
 
     def _size(self, e: Any) -> Column:
         if isinstance(e, X.Items):
-            return F.lit(len(e.items))
+            errors = [x.error for x in map(self.value, e.items) if x.error is not None]
+            return F.when(~_any(errors), F.lit(len(e.items))) if errors else F.lit(len(e.items))
         v = self.value(e)
         if isinstance(e, X.Path) and e.root == "payload":
-            at = step_into(self.column("payload", e.origin), e.steps)
+            at = self.variant(e)[0]
             n = F.when(v.is_("str"), F.length(v.read("str"))).when(v.is_("list"), F.size(F.try_variant_get(at, "$", "array<variant>"))).when(v.is_("map"), F.size(F.map_keys(F.try_variant_get(at, "$", "map<string,variant>"))))
         else:
             n = F.when(v.is_("str"), F.length(v.read("str"))) if "str" in v.kinds else F.lit(None).cast("int")
@@ -204,7 +249,7 @@ class Compiler:
             case X.Has(path):
                 if path.root != "payload":
                     return F.lit(False) if path.steps else self.column(path.root, path.origin).isNotNull()
-                return step_into(self.column("payload", path.origin), path.steps).isNotNull()  # null is there, absent isn't
+                return self.variant(path)[0].isNotNull()  # null is there, absent isn't
             case _:
                 v = self.value(e)
                 return self._guard(F.when(v.is_("bool"), v.read("bool")), v) if "bool" in v.kinds else F.lit(NONE).cast("boolean")
@@ -248,8 +293,8 @@ class Compiler:
             return out
         if not isinstance(right, X.Path) or right.root != "payload" or (right.origin and self.origin is None):
             return F.lit(NONE).cast("boolean")
-        at = step_into(self.column("payload", right.origin), right.steps)
-        b = variant_value(at)
+        at, kind = self.variant(right)
+        b = variant_value(at, kind)
         found = F.when(b.is_("list"), F.exists(F.try_variant_get(at, "$", "array<variant>"), lambda x: self.equal(a, variant_value(x))))
         if "str" in a.kinds:
             found = found.when(b.is_("map") & a.is_("str"), F.array_contains(F.map_keys(F.try_variant_get(at, "$", "map<string,variant>")), a.read("str")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..lang import expression as X
 from ..lang.pattern import Pattern
 from ..lang.subscription import Subscription
-from .compile import Compiler, Parameter, extracted, extracted_value, patterns_column, step_into
+from .compile import Compiler, Parameter, extracted, extracted_value, patterns_column, payload_paths, with_paths
 
 #: Subscriptions in one projection; rows of patterns that are broadcast at most.
 AT_ONCE, BROADCAST_ROWS = 50, 200_000
@@ -41,9 +41,20 @@ def filtered(events: DataFrame, sub: Subscription) -> DataFrame:
     out = events.where(on_column(sub))
     if sub.source:
         out = out.where(from_column(sub))
-    for condition in Compiler().filters(sub.where) if sub.where is not None else []:
-        out = out.where(condition)
-    return out
+    parts = _conjuncts(sub.where) if sub.where is not None else []
+    for part in (p for p in parts if not payload_paths(p)):
+        for condition in Compiler().filters(part):
+            out = out.where(condition)
+    late = [p for p in parts if payload_paths(p)]
+    out, known = with_paths(out, _steps(*late))
+    for part in late:
+        for condition in Compiler(known=known).filters(part):
+            out = out.where(condition)
+    return out.select(*events.columns) if known else out
+
+
+def _steps(*parts: Any) -> set[tuple[str, ...]]:
+    return {p.steps for e in parts if e is not None for p in payload_paths(e) if not p.origin}
 
 
 def passes(sub: Subscription, compiler: Compiler | None = None) -> Column:
@@ -62,8 +73,10 @@ def evaluated(events: DataFrame, sub_id: str, sub: Subscription) -> DataFrame:
     stages: list[tuple[str, Column, Column]] = [("on", F.coalesce(on_column(sub), F.lit(False)), F.concat(F.lit("subject '"), "subject", F.lit(f"' matches none of [{', '.join(map(str, sub.on))}]")))]
     if sub.source:
         stages.append(("from", F.coalesce(from_column(sub), F.lit(False)), F.concat(F.lit("neither source '"), "source", F.lit("' nor node '"), "node", F.lit(f"' matches '{from_text}'"))))
+    columns = events.columns
+    events, known = with_paths(events, _steps(sub.where))
     if where_text is not None:
-        truth = Compiler().truth(sub.where)
+        truth = Compiler(known=known).truth(sub.where)
         stages.append(("where", F.coalesce(truth, F.lit(False)), F.when(truth.isNull(), F.lit(f"expression '{where_text}' errored")).otherwise(F.lit(f"expression '{where_text}' evaluated to false"))))
     pending = [name for name in ("meaning", "judge") if getattr(sub, name)]
     tier, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -73,7 +86,7 @@ def evaluated(events: DataFrame, sub_id: str, sub: Subscription) -> DataFrame:
     outcome = F.when(rejected, F.lit("rejected")).otherwise(F.lit("pending" if pending else "matched"))
     where = F.struct(F.lit(where_text).alias("expr"), F.lit(True).alias("result")) if where_text is not None else F.lit(None).cast("struct<expr:string,result:boolean>")
     block = F.struct(F.lit(sub_id).alias("subscription"), F.array(*(F.lit(n) for n, _, _ in stages)).alias("tiers"), where.alias("where"), F.array(*map(F.lit, pending)).cast("array<string>").alias("pending"))
-    return events.select("*", F.lit(sub_id).alias("sub_id"), outcome.alias("outcome"), tier.alias("rejected_at"), reason.alias("reason"), F.when(~rejected, block).alias("match"))
+    return events.select(*columns, F.lit(sub_id).alias("sub_id"), outcome.alias("outcome"), tier.alias("rejected_at"), reason.alias("reason"), F.when(~rejected, block).alias("match"))
 
 
 def why_not(events: DataFrame, sub_id: str, sub: Subscription) -> DataFrame:
@@ -86,7 +99,9 @@ def why_not(events: DataFrame, sub_id: str, sub: Subscription) -> DataFrame:
 
 def survives(events: DataFrame, sub: Subscription) -> DataFrame:
     """Events with a boolean: matched, or waiting for the dearer clauses."""
-    return events.withColumn("survives", passes(sub))
+    columns = events.columns
+    events, known = with_paths(events, _steps(sub.where))
+    return events.select(*columns, passes(sub, Compiler(known=known)).alias("survives"))
 
 
 # ---- many subscriptions -----------------------------------------------------------------
@@ -95,12 +110,12 @@ def match_matrix(events: DataFrame, subs: dict[str, Subscription]) -> DataFrame:
     """(event columns, sub_id) for every match; one projection by ``AT_ONCE`` subscriptions."""
     names = list(subs)
     groups = [names[k : k + AT_ONCE] for k in range(0, len(names), AT_ONCE)]
-    hits = [F.array_compact(F.array(*(F.when(passes(subs[n]), F.lit(n)) for n in group))) for group in groups]
-    out = events
+    out, known = with_paths(events, _steps(*(s.where for s in subs.values())))
+    hits = [F.array_compact(F.array(*(F.when(passes(subs[n], Compiler(known=known)), F.lit(n)) for n in group))) for group in groups]
     for k, hit in enumerate(hits):
         out = out.withColumn(f"_hits{k}", hit)
     found = F.flatten(F.array(*(F.col(f"_hits{k}") for k in range(len(hits))))) if hits else F.array().cast("array<string>")
-    return out.withColumn("sub_id", F.explode(found)).drop(*(f"_hits{k}" for k in range(len(hits))))
+    return out.select(*events.columns, F.explode(found).alias("sub_id"))
 
 
 @dataclass(frozen=True)
@@ -229,15 +244,15 @@ class Matcher:
             self._compiled = self._compile()
         shapes, templates, joins, table, several = self._compiled
         paths = sorted({path.steps for _, path in joins if path is not None}.union(*(_paths(where) for where, _ in templates)))
-        known = {steps: f"_p{k}" for k, steps in enumerate(paths)}
         given = events.columns
-        events = events.select("*", F.split("subject", r"\.").alias("_tokens"), *(c for steps, name in known.items() for c in extracted(step_into(F.col("payload"), steps), name)))
+        events, known = with_paths(events, set(paths))
+        events = events.select(*given, F.split("subject", r"\.").alias("_tokens"), *(c for name in known.values() for c in extracted(name)))
         tokens = F.col("_tokens")
         keys = []
         for shape, path in joins:
             key = shape.key(shapes[shape], tokens)
             if path is not None:
-                v = extracted_value(known[path.steps], F.col("payload"))
+                v = extracted_value(known[path.steps])
                 number = F.when(v.is_("num"), F.concat(F.lit("n"), _shown(v.read("num"))))
                 text = F.coalesce(number, F.when(v.is_("str"), F.concat(F.lit("s"), v.read("str"))), F.when(v.is_("bool"), F.concat(F.lit("b"), v.read("bool").cast("string"))))
                 key = F.concat(key, F.lit(f"|{path}|"), text)
@@ -251,7 +266,7 @@ class Matcher:
 
         conditions = F.lit(False)
         for number, (where, source) in reversed(list(enumerate(templates))):
-            ok = F.lit(True) if where is None else F.coalesce(Compiler(parameter=parameter, known=known).truth(where), F.lit(False))
+            ok = F.lit(True) if where is None else F.coalesce(Compiler(parameter=parameter, known=known, read=True).truth(where), F.lit(False))
             if source is not None:
                 ok = ok & (patterns_column((source,), F.col("source")) | patterns_column((source,), F.col("node")))
             conditions = F.when(F.col("_template") == number, ok).otherwise(conditions)

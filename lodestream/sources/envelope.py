@@ -95,8 +95,8 @@ def parsed_events(lines: DataFrame, column: str) -> DataFrame:
 
 
 def sample_payload() -> Column:
-    """The JSON text of a sample event's payload; a note is absent below 50, a flag is null at multiples of 7."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    """The JSON text of a sample event's payload, given ``_k``; a note is absent below 50, a flag is null at multiples of 7."""
+    k = F.col("_k")
     user = F.col("user_id") % 10
     note = F.when(k >= 50, F.concat(F.lit(', "note": "n'), k, F.lit('"'))).otherwise(F.lit(""))
     flag = F.when(k % 7 == 0, F.lit(', "flag": null')).otherwise(F.lit(""))
@@ -117,6 +117,7 @@ def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_events(table: DataFrame) -> DataFrame:
     configure(table.sparkSession)
     time, number = F.col("ts").cast("timestamp"), F.col("event_id")
+    table = table.select("*", F.inline(F.array(F.struct(F.get_json_object("props", "$.k").cast("int").alias("_k")))))  # read once
     rows = table.select(
         (number + 1).alias("seq"), F.concat(F.lit("EV."), number).alias("id"), F.date_format(time, STAMP).alias("ts"), time.alias("event_time"), F.concat(F.lit("n"), F.col("user_id") % 4).alias("node"),
         F.concat(F.lit("tap."), "event_type").alias("source"), F.concat(F.lit("app."), "event_type", F.lit(".u"), F.col("user_id") % 10).alias("subject"),
