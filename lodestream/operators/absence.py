@@ -1,49 +1,87 @@
 """Absence: an origin event without an expected one in time.
 
-The expected side is an anti join.  Equalities between origin and event become its keys, null-safe
-as the language's are; sequence and time bounds and the rest of the
-expression are its residual.
+Time is cut into bins as long as the deadline, so what disarms an origin stands in its
+own bin or the next; the bin is a key beside every equality between origin and
+event, of the envelope or of the payload.  Other conditions are the residual of an anti
+join on these keys.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lang import expression as X
 from ..lang.subscription import Subscription
-from ..plans.compile import Compiler, pattern_column
+from ..plans.compile import Compiler, extracted, pattern_column, payload_paths, value_key, with_paths
 from ..plans.match import filtered
 
 
-def _conjuncts(e) -> list:
-    return _conjuncts(e.left) + _conjuncts(e.right) if isinstance(e, X.Both) else [e]
+def _conjuncts(e: Any) -> list:
+    return _conjuncts(e.left) + _conjuncts(e.right) if isinstance(e, X.Both) else [] if e is None else [e]
 
 
-def _equal_fields(e) -> tuple[str, str] | None:
-    """(event field, origin field) of a conjunct that compares two fields of the envelope."""
-    if isinstance(e, X.Compare) and e.sign == "==" and isinstance(e.left, X.Path) and isinstance(e.right, X.Path) and "payload" not in (e.left.root, e.right.root) and not e.left.steps and not e.right.steps and e.left.origin != e.right.origin:
-        own, other = (e.right, e.left) if e.left.origin else (e.left, e.right)
-        return own.root, other.root
-    return None
+def _paths(e: Any) -> set[X.Path]:
+    if isinstance(e, X.Path):
+        return {e}
+    parts = e if isinstance(e, tuple) else [getattr(e, name) for name in getattr(e, "__dataclass_fields__", ())]
+    return set().union(*map(_paths, parts))
 
 
-def residual(sub: Subscription) -> list[Column]:
-    """The conditions on event ``e`` and origin ``o`` that disarm."""
-    out = [F.col("e.seq") > F.col("o.seq"), F.col("e.event_time") < F.col("o.event_time") + F.expr(f"INTERVAL {sub.expect.within.seconds} SECONDS"), F.col("e.event_time") >= F.col("o.event_time")]
-    if sub.expect.where is not None:
-        compiler = Compiler(event="e", origin="o")
-        for part in _conjuncts(sub.expect.where):
-            pair = _equal_fields(part)
-            out.append(F.col(f"e.{pair[0]}").eqNullSafe(F.col(f"o.{pair[1]}")) if pair else F.coalesce(compiler.truth(part), F.lit(False)))
-    return out
+@dataclass
+class Sides:
+    """Origins and expected events with their keys (``_k0`` ..., ``_bin``), and the conditions between ``e`` and ``o`` that are left."""
+
+    origins: DataFrame
+    expected: DataFrame
+    keys: list[str]
+    rest: list[Column]
+    window: int
+
+    def in_time(self) -> list[Column]:
+        return [F.col("e.seq") > F.col("o.seq"), F.col("e.event_time") >= F.col("o.event_time"), F.col("e.event_time") < F.col("o.event_time") + F.expr(f"INTERVAL {self.window // 1_000_000} SECONDS")]
+
+    def condition(self) -> Column:
+        equal = [F.col(f"e.{k}") == F.col(f"o.{k}") for k in self.keys]
+        return reduce(lambda a, b: a & b, [*equal, *self.in_time(), *self.rest])
+
+
+def sides(events: DataFrame, sub: Subscription) -> Sides:
+    """Both sides of an ``expect`` clause; rows without a time are left out of the expected."""
+    w = sub.expect.within.seconds * 1_000_000
+    parts = _conjuncts(sub.expect.where)
+    own = [p for p in parts if not any(x.origin for x in _paths(p))]
+    across = [p for p in parts if p not in own]
+    equal = [p for p in across if isinstance(p, X.Compare) and p.sign == "==" and isinstance(p.left, X.Path) and isinstance(p.right, X.Path) and p.left.origin != p.right.origin]
+    # equal keys of envelope fields are equal fields; those of payload values only nearly so
+    rest = [p for p in across if p not in equal or payload_paths(p)]
+    keys = [f"_k{k}" for k in range(len(equal))]
+
+    def side(rows: DataFrame, of_origin: bool) -> tuple[DataFrame, dict]:
+        rows, known = with_paths(rows, {x.steps for p in across for x in payload_paths(p) if x.origin == of_origin})
+        rows = rows.select("*", *(c for name in known.values() for c in extracted(name)))
+        compiler = Compiler(known=known, read=True)
+        ends = [p.left if p.left.origin == of_origin else p.right for p in equal]
+        return rows.select("*", *(value_key(compiler.value(X.Path(p.root, p.steps))).alias(k) for p, k in zip(ends, keys, strict=True)), F.expr(f"(unix_micros(event_time) - pmod(unix_micros(event_time), {w})) div {w}").alias("_bin")), known
+
+    origins, of_origin = side(filtered(events, sub), True)
+    expected = events.where(pattern_column(sub.expect.on, F.col("subject")) & F.col("event_time").isNotNull())
+    if own:
+        plain = Subscription(on=(sub.expect.on,), sink="stream", where=reduce(X.Both, own))
+        expected = filtered(expected, plain)
+    expected, of_event = side(expected, False)
+    compiler = Compiler(event="e", origin="o", known=of_event, known_origin=of_origin, read=True)
+    held = [F.coalesce(compiler.truth(p), F.lit(False)) for p in rest]
+    expected = expected.withColumn("_bin", F.explode(F.array(F.col("_bin"), F.col("_bin") - 1)))
+    return Sides(origins, expected, [*keys, "_bin"], held, w)
 
 
 def expired(events: DataFrame, sub: Subscription) -> DataFrame:
     """Origins that nothing disarmed, with their deadline."""
-    origins = filtered(events, sub).alias("o")
-    expected = events.where(pattern_column(sub.expect.on, F.col("subject"))).alias("e")
-    out = origins.join(expected, reduce(lambda a, b: a & b, residual(sub)), "left_anti")
+    s = sides(events, sub)
+    out = s.origins.alias("o").join(s.expected.alias("e"), s.condition(), "left_anti").select(*events.columns)
     return out.withColumn("deadline", F.col("event_time") + F.make_dt_interval(secs=F.lit(sub.expect.within.seconds)))

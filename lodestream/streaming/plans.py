@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang.subscription import Subscription
-from ..operators.absence import residual
+from ..operators import absence
 from ..operators.log import hop_capped
-from ..plans.compile import pattern_column
 from ..plans.match import filtered
 from ..sources.envelope import parsed_events
 from . import stateful
@@ -34,12 +32,9 @@ def expired(events: DataFrame, sub: Subscription, delay: str = "0 seconds") -> D
     Streams have no anti join, so this is an outer one whose unmatched rows stay.
     """
     columns = ["seq", "id", "event_time", "source", "node", "subject", "type", "ts", "correlation", "payload_json"]
-    parse = lambda df: df.withColumn("payload", F.try_parse_json("payload_json"))  # noqa: E731 - a join keeps text in its state
-    plain = events.withWatermark("event_time", delay)
-    origins = filtered(plain, sub).select(*columns)
-    expected = plain.where(pattern_column(sub.expect.on, F.col("subject"))).select(*columns)
-    conditions = residual(sub)
-    joined = parse(origins).alias("o").join(parse(expected).alias("e"), reduce(lambda a, b: a & b, conditions), "leftOuter")
+    s = absence.sides(events.withWatermark("event_time", delay), sub)
+    texts = lambda df: df.drop("payload", *(c for c in df.columns if c.startswith("_path") and c[5:].isdigit()))  # noqa: E731 - no variants in a join's state
+    joined = texts(s.origins).alias("o").join(texts(s.expected).alias("e"), s.condition(), "leftOuter")
     return joined.where(F.col("e.seq").isNull()).select(*(F.col(f"o.{c}") for c in columns), (F.col("o.event_time") + F.make_dt_interval(secs=F.lit(sub.expect.within.seconds))).alias("deadline"))
 
 
