@@ -2,8 +2,10 @@
 
 Time is cut into bins as long as the deadline, so what disarms an origin stands in its
 own bin or the next; the bin is a key beside every equality between origin and
-event, of the envelope or of the payload.  Other conditions are the residual of an anti
-join on these keys.
+event, of the envelope or of the payload.  Without any other condition between the two,
+no pairs are made: the greatest sequence number from the origin's time on and before its
+deadline, found with running maxima, says whether a later event was in time.
+Other conditions are the residual of an anti join on these keys.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lang import expression as X
@@ -80,8 +82,27 @@ def sides(events: DataFrame, sub: Subscription) -> Sides:
     return Sides(origins, expected, [*keys, "_bin"], held, w)
 
 
+def _by_maxima(s: Sides, columns: list[str]) -> DataFrame:
+    """Origins after which, until their deadline, no greater sequence number comes."""
+    t = F.unix_micros("event_time")
+    timed = F.col("event_time").isNotNull()
+    own = F.expr(f"(unix_micros(event_time) - pmod(unix_micros(event_time), {s.window})) div {s.window}")
+    first = own == F.col("_bin")  # the event's own bin, or that of origins before it
+    origins = s.origins.where(timed).select(*s.keys, t.alias("_t"), F.lit(None).cast("long").alias("_same"), F.lit(None).cast("long").alias("_next"), F.col("seq").alias("_seq"), F.struct(*columns).alias("_o"))
+    nothing = F.lit(None).cast(origins.schema["_o"].dataType)
+    expected = s.expected.select(*s.keys, F.when(first, t).otherwise(t - F.lit(s.window)).alias("_t"), F.when(first, F.col("seq")).alias("_same"), F.when(~first, F.col("seq")).alias("_next"), F.lit(None).cast("long").alias("_seq"), nothing.alias("_o"))
+    part = Window.partitionBy(*s.keys)
+    rows = origins.union(expected)
+    # in the origin's bin from its time on; in the next one while less than the deadline later
+    rows = rows.withColumn("_same", F.max("_same").over(part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_next", F.max("_next").over(part.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)))
+    late = F.coalesce(F.greatest("_same", "_next") > F.col("_seq"), F.lit(False))
+    out = rows.where(F.col("_o").isNotNull() & ~late).select("_o.*")
+    return out.union(s.origins.where(~timed).select(*columns))
+
+
 def expired(events: DataFrame, sub: Subscription) -> DataFrame:
     """Origins that nothing disarmed, with their deadline."""
     s = sides(events, sub)
-    out = s.origins.alias("o").join(s.expected.alias("e"), s.condition(), "left_anti").select(*events.columns)
+    out = s.origins.alias("o").join(s.expected.alias("e"), s.condition(), "left_anti").select(*events.columns) if s.rest else _by_maxima(s, events.columns)
     return out.withColumn("deadline", F.col("event_time") + F.make_dt_interval(secs=F.lit(sub.expect.within.seconds)))
