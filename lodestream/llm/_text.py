@@ -2,13 +2,15 @@
 
 Everything works on the UTF-8 bytes of a batch of texts at once.  Words are
 maximal runs of bytes other than 0x20 and 0x09-0x0D, which is the same as runs
-of such characters.  Hashes are polynomial prefix sums modulo 2**64 over random
-values of bytes or words, so the hash of any range costs two look-ups; texts are
+of such characters.  Words and lines are hashed by themselves (``range_hashes``).  Windows of
+bounded length are hashed by polynomial prefix sums modulo 2**64 over random
+values of bytes or words, so each costs two look-ups; texts are
 never joined across documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +24,15 @@ PIECE = 1 << 17
 _rng = np.random.default_rng(20240607)
 _TABLE = [_rng.integers(0, 1 << 64, 512, dtype=U) | U(1) for _ in range(2)]
 BASE = [int(x) | 1 for x in _rng.integers(1 << 60, 1 << 63, 2)]
-_ASCII_LOWER = np.arange(256)
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def byte_values(data: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
-    table = _TABLE[which][:256]
-    return (table[_ASCII_LOWER] if lower else table)[data]
+def byte_values(data: np.ndarray, which: int = 0) -> np.ndarray:
+    return _TABLE[which][:256][data]
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -118,8 +119,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Bytes of a range beyond which it is hashed by itself.
+LONG = 512
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of each range of bytes, of whatever length: eight bytes at a time are mixed into what the ones before gave.
+
+    (A polynomial modulo 2**64 would take some long texts of two symbols for one another.)
+    """
+    size = ends - starts
+    out = mix(size.astype(U), 50 + which)
+    if not len(size):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    live, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - done
+        chunk = np.ascontiguousarray(eights[starts[live] + done]).view(U)[:, 0]
+        short = left < 8
+        chunk[short] &= (U(1) << (left[short].astype(U) * U(8))) - U(1)
+        out[live] = mix(out[live] ^ chunk, 60 + which)
+        live, done = live[left > 8], done + 8
+    for k in np.flatnonzero(size > LONG):
+        out[k] = np.frombuffer(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=bytes([which])).digest(), U)[0]
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
-    return mix(Prefix(byte_values(data, which, lower), which).hash(starts, ends), which)
+    return range_hashes(_ASCII_LOWER[data] if lower else data, starts, ends, which)
 
 
 def word_offsets(docs: np.ndarray, n: int) -> np.ndarray:

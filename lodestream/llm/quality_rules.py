@@ -85,7 +85,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     tails = np.maximum(tails, heads)
     full = np.searchsorted(starts, heads) < np.searchsorted(starts, tails)
     heads, tails, line_doc = heads[full], tails[full], line_doc[full]
-    key = _text.mix(_text.Prefix(_text.byte_values(data)).hash(heads, tails), 7) ^ salt[line_doc]
+    key = _text.range_hashes(data, heads, tails) ^ salt[line_doc]
     out["n_lines"] = np.bincount(line_doc, minlength=n)
     out["n_dup_lines"] = np.bincount(line_doc[_repeated(key)[1]], minlength=n) if len(key) else np.zeros(n, np.int64)
     return out

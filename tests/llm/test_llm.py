@@ -85,6 +85,18 @@ def test_join(name, request):
     assert got == plain_components(pairs(docs))
 
 
+def test_long_words_are_told_apart(spark):
+    """A Thue-Morse word and its complement, which a polynomial modulo 2**64 takes for one another."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    tail = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {tail}"), (4, f"{other} {tail}")], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.components(docs.where("doc_id < 3")).collect()} == {1, 2}
+    assert {r["doc_id"]: r["n_removed"] for r in window_dedup.digest(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 60}
+
+
 def test_deduplicated_keeps_one_of_each(odd, empty):
     kept = ngram_join.deduplicated(odd)
     least = {d for d, _, c in plain_components(pairs(odd)) if d == c}
