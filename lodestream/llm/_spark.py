@@ -8,17 +8,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells of a merged table that travel in one row.
-SLICE = 1 << 16
+#: Cells of a merged table that travel in one row; parts in which the driver fetches a table of more bytes than the last number.
+SLICE, FETCHES, SMALL = 1 << 16, 6, 1 << 22
 
 
 def shared(spark: SparkSession) -> None:
-    """Have a checkpoint folder: the cluster's, or one of this machine where none is named, as in tests."""
+    """Have a checkpoint folder: the cluster's, or one of this machine where all of Spark runs on it, as in tests."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestream-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -52,18 +55,26 @@ def tidy(spark: SparkSession) -> None:
 MAYBE_CELLS = 1 << 22
 
 
-def maybe_among(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
-    """A test of 64-bit keys: true for all keys of the one column of ``keys``, false for most others; its size is fixed."""
+def bitmap(rows: DataFrame, cell: Column, cells: int) -> np.ndarray:
+    """One bit for each of so many cells, set where a row has it; partial bitmaps of 4 KB are merged, and its size is fixed."""
+    at = cell + 1
+    found = rows.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(max(cells // 8, 4096), np.uint8)
+    for r in found.coalesce(FETCHES).toLocalIterator():
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            yield np.asarray(batch.column(0)) & (MAYBE_CELLS - 1)
 
-    shared = keys.sparkSession.sparkContext.broadcast(np.packbits(tallied(keys, cells, MAYBE_CELLS) > 0))
+def has_bit(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def maybe_among(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of 64-bit keys: true for all keys of the one column of ``keys``, false for most others; its size is fixed."""
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap(keys, F.col(keys.columns[0]).bitwiseAND(F.lit(MAYBE_CELLS - 1)), MAYBE_CELLS))
 
     def test(keys: np.ndarray) -> np.ndarray:
-        cell = keys & (MAYBE_CELLS - 1)
-        return (shared.value[cell >> 3] >> (7 - (cell & 7))) & 1 == 1
+        return has_bit(shared.value, keys & (MAYBE_CELLS - 1))
 
     return test
 
@@ -143,7 +154,9 @@ def merged(partial: DataFrame, cells: int, kind: type = np.uint8) -> np.ndarray:
             yield row(now, total)
 
     out = np.zeros(cells, kind)
-    for r in partial.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, SLICES).toLocalIterator():
+    rows = partial.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, SLICES)
+    # a small table comes at once, a large one in few parts, as each costs the driver a job
+    for r in rows.collect() if out.nbytes <= SMALL else rows.coalesce(FETCHES).toLocalIterator():
         part = out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE]
         part[np.frombuffer(r["cells"], np.uint16)] = np.frombuffer(r["counts"], kind)
     return out
@@ -162,25 +175,39 @@ def tallied(df: DataFrame, cells_of: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (u, v); nodes of one component share a root.
+    """(node, root) for every node of the undirected edges (u, v), u <> v; nodes of one component share a root.
 
-    Each round moves every node to the neighbour of least hash and drops edges
-    that became loops, which halves the nodes in expectation whatever the shape
-    of the graph.  No node's neighbours are ever gathered.
+    Each round moves every node to its least neighbour (if that is less), then twice to where that has moved,
+    and drops edges that became loops.  Rounds in turn take the least number, which ends stars around
+    their least node at once, and the least hash, which halves the nodes in expectation whatever the
+    shape of the graph.  No node's neighbours are ever gathered.
     """
-    edges, moves, turn = written(edges.select("u", "v").where("u <> v").distinct()), [], 0
-    while not edges.isEmpty():
+    edges, left = counted(edges)
+    moves, turn = [], 0
+    while left:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        rank = (lambda c: F.struct(F.col(c).alias("id"))) if turn % 2 == 0 else (lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id")))  # noqa: B023
         step = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u")).getField("id").alias("to"))
-        step = written(step)
-        move = written(step.select("u", F.col("to").alias("via")).join(step.select(F.col("u").alias("via"), "to"), "via").select("u", "to"))  # two steps at once
+        jump = lambda a: a.select("u", F.col("to").alias("via")).join(a.select(F.col("u").alias("via"), "to"), "via").select("u", "to")
+        move = written(jump(written(jump(step))))
         moves.append(move)
-        edges = written(edges.join(move.select("u", F.col("to").alias("a")), "u").join(move.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
+        edges, left = counted(edges.join(move.select("u", F.col("to").alias("a")), "u").join(move.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
         turn += 1
     if not moves:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return written(followed(moves))
+
+
+def counted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, written, and their number."""
+    seen = Observation()
+    out = written(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def followed(moves: list[DataFrame]) -> DataFrame:
+    """(node, root) of moves (u, to) one after another; a node that doesn't move any more is its root."""
     out = moves[-1].select(F.col("u").alias("node"), F.col("to").alias("root"))
     for move in reversed(moves[:-1]):
         out = move.join(out.withColumnRenamed("node", "to"), "to", "left").select(F.col("u").alias("node"), F.coalesce("root", "to").alias("root"))
-    return written(out)
+    return out

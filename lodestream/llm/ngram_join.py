@@ -66,7 +66,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, two hashes of the set, two of the prefix, and the prefix in token order."""
+    """doc_id, n, two hashes of the set, two of the prefix, and the prefix's tokens that other documents may have, with their places in token order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,19 +74,22 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for piece in _text.pieces(batches):
             n = np.zeros(piece.num_rows, np.int64)
             keys = np.zeros((4, piece.num_rows), np.int64)
-            prefixes, at = [], np.zeros(piece.num_rows + 1, np.int64)
+            prefixes, places, at = [], [], np.zeros(piece.num_rows + 1, np.int64)
             for d, s in shingles(*_text.raw(piece.column(1)), size):
                 a, b = _cells(s)
                 often = np.minimum(counts[a], counts[b]).astype(U)
                 order = np.argsort((np.minimum(often, U(0xFFFF)) << U(48)) | (s >> U(16)), kind="stable")
                 prefix = s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]]
-                n[d], at[d + 1] = len(s), len(prefix)
+                alone = np.minimum(often, U(0xFFFF))[order[: len(prefix)]] < 2  # no other document has these
+                n[d], at[d + 1] = len(s), len(prefix) - int(alone.sum())
                 keys[:, d] = _text.signed(np.array([_text.mix(x, k).sum() for x in (s, prefix) for k in (5, 6)], U))
-                prefixes.append(prefix)
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, U)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), *map(pa.array, keys), _text.lists(_text.signed(flat), np.cumsum(at))], names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"])
+                prefixes.append(prefix[~alone])
+                places.append(np.flatnonzero(~alone).astype(np.int32))
+            ends = np.cumsum(at)
+            flat, place = np.concatenate([np.empty(0, U), *prefixes]), np.concatenate([np.empty(0, np.int32), *places])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), *map(pa.array, keys), _text.lists(_text.signed(flat), ends), _text.lists(place, ends)], names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix", "places"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, places array<int>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -116,11 +119,10 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("g"), F.count("*").alias("members"))
     member = _spark.saved(classes.join(groups, ["n", "p1", "p2"]).select("g", "id", "n", "members"))
 
-    # the inverted index over the groups' prefixes; tokens of one group only go at once
-    prefix = usable.select(F.col("doc_id").alias("g"), "n", "prefix").join(member.where("id = g").select("g", "n").distinct(), ["g", "n"])
-    tokens = prefix.select(F.posexplode("prefix").alias("at", "token"), "g", "n")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1").select("token")
-    index = _spark.saved(tokens.join(often, "token"))
+    # the inverted index over the groups' prefixes
+    some = usable.where(F.size("prefix") > 0).select(F.col("doc_id").alias("g"), "n", F.arrays_zip("prefix", "places").alias("p"))
+    prefix = some.join(member.where("id = g").select("g", "n").distinct(), ["g", "n"])
+    index = _spark.saved(prefix.select(F.explode("p").alias("p"), "g", "n").select(F.col("p.places").alias("at"), F.col("p.prefix").alias("token"), "g", "n"))
 
     most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     fits = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n")))
@@ -129,11 +131,11 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) of documents whose whole sets are similar enough; sets are made for documents in pairs only."""
         pairs = _spark.saved(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        sets = _sets(docs, _spark.saved(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()), size)
+        sets = _sets(docs, _spark.saved(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), size)
         u, v = (sets.select(F.col("id").alias(x), F.col("members").alias(f"{x}_set")) for x in "uv")
         both = pairs.join(u, "u").join(v, "v")
         same = F.size(F.array_intersect("u_set", "v_set"))
-        return _spark.written(both.where(100 * same >= percent * (F.size("u_set") + F.size("v_set") - same)).select("u", "v"))
+        return both.where(100 * same >= percent * (F.size("u_set") + F.size("v_set") - same)).select("u", "v")
 
     # each token's groups with its hub, each group's members with its first
     hub = index.groupBy("token").agg(F.min(F.struct("g", "n", "at")).alias("hub")).select("token", "hub.*")
@@ -150,9 +152,12 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     apart = F.col("a.root") < F.col("b.root")
     pairs = rest.alias("a").join(rest.alias("b"), "token").where(apart & fits).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     within = inner.alias("a").join(inner.alias("b"), "g").where(apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    links = _spark.written(links.union(verified(pairs.union(within))))
-
-    root = _spark.components(links)
+    # the new links join whole components: only these are gone through again
+    more = verified(pairs.union(within))
+    of = lambda c: rooted.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    joined = _spark.components(more.join(of("u"), "u").join(of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
+    after = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
+    root = _spark.written(rooted.select(F.col("id").alias("node"), "root").distinct().join(after, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
     least = root.groupBy("root").agg(F.min("node").alias("component_id"))
     named = root.join(least, "root").select(F.col("node").alias("id"), "component_id")
     by_class = classes.join(named, "id", "left").select("n", "s1", "s2", F.coalesce("component_id", "id").alias("component_id"))

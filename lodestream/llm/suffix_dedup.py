@@ -137,25 +137,7 @@ def _repeated_anchors(rows: DataFrame, width: int, gram: int) -> np.ndarray:
 
     twice = rows.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(BITS // 8, np.uint8)
-        for batch in batches:
-            cell = _bit(np.asarray(batch.column(0)).view(U))
-            np.bitwise_or.at(mine, cell >> 3, np.left_shift(1, cell & 7).astype(np.uint8))
-        for k in range(0, len(mine), _spark.SLICE):
-            at = np.flatnonzero(mine[k : k + _spark.SLICE])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k // _spark.SLICE], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([mine[k + at].tobytes()], pa.binary())], names=["slice", "cells", "counts"])
-
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in twice.mapInArrow(bits, _spark.SLICES).toLocalIterator():
-        part = out[row["slice"] * _spark.SLICE : (row["slice"] + 1) * _spark.SLICE]
-        part[np.frombuffer(row["cells"], np.uint16)] |= np.frombuffer(row["counts"], np.uint8)
-    return out
-
-
-def _bit(anchor: np.ndarray) -> np.ndarray:
-    return (_text.mix(anchor, 33) & U(BITS - 1)).astype(np.int64)
+    return _spark.bitmap(twice, F.col("anchor").bitwiseAND(F.lit(BITS - 1)), BITS)
 
 
 def _suspects(rows: DataFrame, width: int, gram: int) -> DataFrame:
@@ -166,8 +148,7 @@ def _suspects(rows: DataFrame, width: int, gram: int) -> DataFrame:
         bits = shared.value
         for piece in _text.pieces(batches):
             c, data = _contexts(piece.column(1), width, gram)
-            cell = _bit(c.anchor)
-            k = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+            k = np.flatnonzero(_spark.has_bit(bits, _text.signed(c.anchor) & (BITS - 1)))
             if not len(k):
                 continue
             new = np.zeros(len(k), bool)
