@@ -186,8 +186,11 @@ def components(edges: DataFrame) -> DataFrame:
     moves, turn = [], 0
     while left:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = (lambda c: F.struct(F.col(c).alias("id"))) if turn % 2 == 0 else (lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id")))  # noqa: B023
-        step = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u")).getField("id").alias("to"))
+        if turn % 2 == 0:
+            step = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to"))
+        else:
+            rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: E731, B023
+            step = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("m")).select("u", F.when(rank("m") < rank("u"), F.col("m")).otherwise(F.col("u")).alias("to"))
         jump = lambda a: a.select("u", F.col("to").alias("via")).join(a.select(F.col("u").alias("via"), "to"), "via").select("u", "to")
         move = written(jump(written(jump(step))))
         moves.append(move)
