@@ -11,8 +11,11 @@ the distance.  Positions whose match reaches 200 are marked.  All contexts of an
 anchor are indexed together, anchors are shared out by hash, so no index needs to
 see another.
 
-An anchor with very many different contexts would be too much for one task: its
-windows become contexts of their own, counted exactly by hash, however many there are.
+An anchor whose contexts are too many bytes for one index is dealt out again: a window with no more
+than half its other bytes before the anchor goes by the bytes after the anchor, any other
+by those before it, so equal windows still meet, and each share has an index of its own.
+What is too much even so has that many windows that agree in over half of their bytes: these
+are counted by hash, exactly, however many there are.
 
 Defined results: null texts are empty; texts shorter than the string stay whole;
 repeated rows are each other's elsewhere; every row returns a row; other columns are ignored.
@@ -33,8 +36,8 @@ from ._text import U
 
 #: Bytes of a string, and of the grams anchors are taken from.
 WIDTH, GRAM = 200, 32
-#: Bits of the table of repeated anchors; contexts of an anchor up to which they are indexed together; bytes of an index.
-BITS, TOGETHER, INDEX = 1 << 27, 2000, 1 << 17
+#: Bits of the table of repeated anchors; bytes that must be indexed together at most; bytes at which an index is closed.
+BITS, TOGETHER, INDEX = 1 << 27, 1 << 18, 1 << 17
 
 
 # ---- the index ----------------------------------------------------------------
@@ -168,17 +171,17 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _indexed(contexts: DataFrame, width: int) -> DataFrame:
-    """anchor, c1, c2, first, last: the runs of marked windows of each context."""
+def _indexed(texts: DataFrame, width: int) -> DataFrame:
+    """share, t1, t2, first, last: the runs of marked windows of each text; texts of a share are indexed together."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, names = [], 0, ["anchor", "c1", "c2", "first", "last"]
+        held, size, names = [], 0, ["share", "t1", "t2", "first", "last"]
 
         def flush() -> pa.RecordBatch:
             deep = RunIndex([np.frombuffer(x[3], np.uint8) for x in held], width).matches() >= width
             at, out = 0, []
-            for a, c1, c2, text in held:
-                out += [(a, c1, c2, s, e) for s, e in _runs(deep[at : at + len(text) - width + 1])]
+            for share, t1, t2, text in held:
+                out += [(share, t1, t2, s, e) for s, e in _runs(deep[at : at + len(text) - width + 1])]
                 at += len(text) + 1
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], names=names)
 
@@ -192,39 +195,86 @@ def _indexed(contexts: DataFrame, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = contexts.select("anchor", "c1", "c2", "own").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(index, "anchor long, c1 long, c2 long, first long, last long")
+    dealt = texts.select("share", "t1", "t2", "own").repartition("share").sortWithinPartitions("share")
+    return dealt.mapInArrow(index, "share long, t1 long, t2 long, first long, last long")
 
 
-def _counted(contexts: DataFrame, width: int) -> DataFrame:
-    """The same for anchors with very many contexts: every window by itself."""
+def _counted(texts: DataFrame, width: int) -> DataFrame:
+    """The same for shares that are too many bytes: every window by itself."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, c1, c2, n, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for *key, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = np.frombuffer(text, np.uint8)
                 w = [_text.mix(_text.Prefix(_text.byte_values(data, k), k).windows(width), 25 + k) for k in (0, 1)]
                 m = len(w[0])
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(m, x, np.int64)) for x in (a, c1, c2)), pa.array(np.arange(m)), *(pa.array(_text.signed(x)) for x in w), pa.array(np.full(m, n, np.int64))], names=["anchor", "c1", "c2", "first", "w1", "w2", "n"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(m, x, np.int64)) for x in key), pa.array(np.arange(m)), *(pa.array(_text.signed(x)) for x in w)], names=["share", "t1", "t2", "first", "w1", "w2"])
 
-    rows = contexts.select("anchor", "c1", "c2", "copies", "own").mapInArrow(windows, "anchor long, c1 long, c2 long, first long, w1 long, w2 long, n long")
-    often = rows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-    return rows.join(often, ["w1", "w2"]).select("anchor", "c1", "c2", "first", (F.col("first") + 1).alias("last"))
+    rows = texts.select("share", "t1", "t2", "own").mapInArrow(windows, "share long, t1 long, t2 long, first long, w1 long, w2 long")
+    often = rows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
+    return rows.join(often, ["w1", "w2"]).select("share", "t1", "t2", "first", (F.col("first") + 1).alias("last"))
+
+
+def _dealt(texts: DataFrame, width: int, gram: int) -> DataFrame:
+    """The texts (share is their anchor) as parts of windows that share the bytes beside the anchor, too: up_*: the text's own keys; offset, n: its windows in the part."""
+    side = (width - gram) // 2
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, t1, t2, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                prefix = [_text.Prefix(_text.byte_values(data, k), k) for k in (0, 1)]
+                places = np.flatnonzero(_text.signed(_text.mix(prefix[0].windows(gram), 21)) == anchor)
+                start = np.arange(len(data) - width + 1)
+                place = places[np.searchsorted(places, start)]  # where the window's first anchor begins
+                after = place - start <= side
+                fresh = np.append(True, (place[1:] != place[:-1]) | (after[1:] != after[:-1]))
+                first = np.flatnonzero(fresh)
+                low = np.where(after[first], place[first] + gram, place[first] - side)
+                beside = [prefix[1].hash(low, low + side), after[first].astype(U), np.full(len(first), anchor, np.int64).view(U)]
+                share = _text.mix(_text.mix(beside[0], 27) ^ _text.mix(beside[1] ^ _text.mix(beside[2], 28), 29), 30)
+                for a, b, x in zip(first.tolist(), [*first[1:].tolist(), len(start)], _text.signed(share).tolist(), strict=True):
+                    own = text[a : b + width - 1]
+                    name = np.frombuffer(hashlib.blake2b(own, digest_size=16).digest(), np.int64).tolist()
+                    out.append((anchor, t1, t2, x, *name, a, b - a, own))
+            kinds = [pa.int64()] * 8 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["up_share", "up_t1", "up_t2", "share", "t1", "t2", "offset", "n", "own"])
+
+    return texts.select("share", "t1", "t2", "own").mapInArrow(deal, "up_share long, up_t1 long, up_t2 long, share long, t1 long, t2 long, offset long, n long, own binary")
+
+
+def _marked(texts: DataFrame, width: int, gram: int, together: int, again: bool = True) -> DataFrame:
+    """share, t1, t2, first, last of different texts (with own, and bytes: all of their share's): by index, where these are few enough, or dealt out again."""
+    few, many = texts.where(F.col("bytes") <= together), texts.where(F.col("bytes") > together)
+    if not again:
+        return _indexed(few, width).union(_counted(many, width))
+    parts = _spark.written(_dealt(many, width, gram))
+    key = ["share", "t1", "t2"]
+    same = parts.groupBy(*key).agg(F.count("*").alias("copies"), F.first("own").alias("own"))
+    sums = same.groupBy("share").agg(F.sum(F.length("own")).alias("bytes"))
+    same = _spark.written(same.join(sums, "share"))
+    inner = _spark.written(_marked(same, width, gram, together, False))
+    own = parts.drop("own").join(same.select(*key, "copies"), key)
+    up = [F.col(f"up_{k}").alias(k) for k in key]
+    whole = own.where("copies > 1").select(*up, F.col("offset").alias("first"), (F.col("offset") + F.col("n")).alias("last"))
+    partly = own.where("copies = 1").join(inner, key).select(*up, (F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("last")).alias("last"))
+    return _indexed(few, width).union(whole).union(partly)
 
 
 def repeated(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
     """row, doc_id, starts, ends: the ranges of bytes that repeated strings cover."""
     found = _spark.written(_suspects(rows, width, gram))
     key = ["anchor", "c1", "c2"]
-    same = _spark.saved(found.groupBy(*key).agg(F.count("*").alias("copies"), F.max("inner").alias("inner")))
-    many = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.max("inner").alias("any_inner"))
-    split = _spark.saved(same.drop("inner").join(many.where("contexts > 1 or any_inner"), "anchor"))
+    same = _spark.saved(found.groupBy(*key).agg(F.count("*").alias("copies"), F.max("inner").alias("inner"), F.max("n").alias("n")))
+    many = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.max("inner").alias("any_inner"), F.sum(F.col("n") + F.lit(width - 1)).alias("bytes"))
+    split = _spark.saved(same.drop("inner", "n").join(many.where("contexts > 1 or any_inner").select("anchor", "bytes"), "anchor"))
     first, _ = _spark.parted(found.where("own is not null").select(*key, "own"), "c1", split.select("c1"))
-    texts = first.join(split, key).groupBy(*key).agg(F.first("own").alias("own"), F.first("copies").alias("copies"), F.first("contexts").alias("contexts"))
+    texts = first.join(split, key).groupBy(*key).agg(F.first("own").alias("own"), F.first("bytes").alias("bytes"))
     # a context that occurs twice is repeated as a whole; the others are looked up in their anchor's index
-    texts = _spark.written(texts)
-    marked = _indexed(texts.where(F.col("contexts") <= together), width).union(_counted(texts.where(F.col("contexts") > together), width))
-    whole = found.select("row", "doc_id", *key, "start", "n").join(same, key)
+    texts = _spark.written(texts.withColumnsRenamed({"anchor": "share", "c1": "t1", "c2": "t2"}))
+    marked = _marked(texts, width, gram, together).withColumnsRenamed({"share": "anchor", "t1": "c1", "t2": "c2"})
+    whole = found.select("row", "doc_id", *key, "start", "n").join(same.select(*key, "copies"), key)
     copies = whole.where("copies > 1").select("row", "doc_id", "start", (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end"))
     partly = whole.where("copies = 1").join(marked, key).select("row", "doc_id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + F.lit(width - 1)).alias("end"))
     return copies.union(partly).groupBy("row", "doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
