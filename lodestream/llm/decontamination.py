@@ -14,8 +14,9 @@ whole document is searched.  The benchmark is a stated query set: it is taken in
 blocks whose index has a bounded size, each of which is held against all documents, so it may
 be of any size.
 
-Defined results: null and blank texts hold nothing; items of fewer than
-``LEAST`` characters are too short to tell and match nothing; equal items all
+Defined results: null and blank texts hold nothing; items of fewer than ``LEAST`` characters
+match without any edit and between the ends of words only; those of fewer than ``Q`` say too little, match
+nothing and are what ``unsearched`` returns; equal items all
 match; repeated rows each return their matches; other columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from ._text import U
 
 #: Characters of a short chunk and between short chunks.
 SHORT, STEP = 48, 4
-#: Characters of a q-gram, of a long chunk and between long chunks; edits by character; least characters of an item; characters of a block of items.
+#: Characters of a q-gram, of a long chunk and between long chunks; edits by character; characters of an item up to which it must be found as it is; characters of a block of items.
 Q, CHUNK, STRIDE, RATE, LEAST, BLOCK = 12, 96, 24, 0.06, 40, 1 << 21
 _FOLDED = [chr(c).casefold() for c in range(0x20000)]  # no case beyond
 _FOLD = np.array([ord(x[0]) for x in _FOLDED], np.uint32)
@@ -82,21 +83,23 @@ def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _stripped(points: np.ndarray) -> np.ndarray:
+    inner = np.flatnonzero(points != 32)
+    return points[inner[0] : inner[-1] + 1] if len(inner) else points[:0]
+
+
 class Index:
     """The chunks of a block of items and the q-grams of the items; a q-gram's chunks of a kind are numbered in a row."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.chunks: list[tuple[int, int, int, int, bool]] = []  # item, first and last character among all items', edits, short
+        self.alone: list[bool] = []  # whether a chunk must stand as words of its own
         keys, places, begins, low, many = [], [], [], ([], []), ([], [])
         texts, at = [], 0
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            points = characters(raw, np.array([0, len(raw)]))[0]
-            while len(points) and points[-1] == 32:
-                points = points[:-1]
-            while len(points) and points[0] == 32:
-                points = points[1:]
-            if len(points) < LEAST:
+            points = _stripped(characters(raw, np.array([0, len(raw)]))[0])
+            if len(points) < Q:
                 continue
             g = grams(points)
             place = np.arange(len(g))
@@ -108,7 +111,8 @@ class Index:
                 low[kind].append(len(self.chunks) + first)
                 many[kind].append(np.searchsorted(starts, place, "right") - first)
                 begins.append(starts)
-                self.chunks += [(item, at + int(x), at + int(x) + size, int(RATE * size), kind == 1) for x in starts]
+                self.chunks += [(item, at + int(x), at + int(x) + size, int(RATE * size) if len(points) >= LEAST else 0, kind == 1) for x in starts]
+                self.alone += [len(points) < LEAST] * len(starts)
             keys.append(g)
             places.append(place)
             texts.append(points)
@@ -185,6 +189,17 @@ def blocks(benchmark: DataFrame) -> Iterator:
         yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["item_text"]) for r in items]))
 
 
+def unsearched(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_text of the items that are too short to be searched for (as compared: folded, any white space one space)."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [np.frombuffer((t or "").encode(), np.uint8) for t in batch.column(1).to_pylist()]
+            yield batch.filter(pa.array([len(_stripped(characters(r, np.array([0, len(r)]))[0])) < Q for r in raws], pa.bool_()))
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).mapInArrow(short, "item_id long, item_text string")
+
+
 def searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, begin, end: each item's best match in each document that holds one (positions in compared characters)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -205,6 +220,8 @@ def _matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], tuple[int,
         if (known := best.get((d, item))) and known[0] == 0:
             continue
         exact = next((s for s in range(max(low, 0), low + 2 * (edits + 1)) if s + len(own) <= len(text) and text[s] == own[0] and np.array_equal(text[s : s + len(own)], own)), None)
+        if index.alone[chunk] and (exact is None or any(chr(text[k]).isalnum() for k in (exact - 1, exact + len(own)) if 0 <= k < len(text))):
+            continue
         if exact is not None:
             hit = (0, exact, exact + len(own))
         else:

@@ -17,7 +17,6 @@ short texts get a low score; repeated rows each return a row; other columns are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ SAMPLE, DIMENSIONS, GRAMS, ROWS = 400, 1 << 12, (2, 3), 256
 #: Least lead of the best codeword's probability over the next.
 LEAD = 0.1
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.zeros(256, np.uint32)  # letters of either case and bytes above ASCII; all others are a break
 for _c in range(26):
     _CLASS[65 + _c] = _CLASS[97 + _c] = _c + 1
@@ -112,6 +110,7 @@ class Model:
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model; the driver gets n-gram counts of the bounded sample only."""
+    docs = docs.select("doc_id", "lang", "text")  # no name of theirs meets one of ours
     pool = docs.where(_spark.learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
     best = lambda rows, *by: rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= sample).drop("k")
     parts = best(pool.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))), "language", "part")  # no language's rows meet in one task
@@ -140,7 +139,7 @@ def predictor(docs: DataFrame):
 
     def predict(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         m, n = model.value, len(texts)
-        known = np.array([m is not None and t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()], bool)
+        known = np.array([m is not None and t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
         best, score, lead = m.decode(profiles(*_text.raw(texts))) if m else (np.zeros(n, int), np.zeros(n), np.zeros(n))
         names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)] if m else [UNKNOWN] * n
         return pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(~known | (lead < LEAD))

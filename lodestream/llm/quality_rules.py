@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose ratio exceeds a cutoff.  For every stratum
-(language) and rule the most severe cutoff is taken for which an exact binomial
-(Clopper-Pearson) bound on the labelled holdout guarantees that at most ``RISK``
-of the good documents are falsely rejected, with the error probability ``DELTA``
-shared evenly over all strata, rules and cutoffs (Bonferroni).  A stratum whose
-labels can't give that guarantee gets no cutoff: nothing is rejected there.
+A document is rejected if any rule's ratio exceeds its cutoff.  Cutoffs come in steps, from mild
+to severe for all rules at once.  For every stratum (language) the steps are tested in that
+order on the labelled holdout: a step holds if the exact binomial (Clopper-Pearson) bound shows
+that all rules together falsely reject at most ``RISK`` of the good documents.  The
+first step that fails ends the sequence and the last that held is taken, so that no correction within a sequence is
+needed; the error probability ``DELTA`` is shared evenly over the strata (Bonferroni).  A
+stratum whose labels can't give that guarantee gets no cutoffs: nothing is rejected there.
 
 Defined results: null texts have no words and fail the base rules; null language
 is a stratum of its own; rows without a label only don't count for the cutoffs;
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ from ._text import U
 
 #: Base rules: least words, most percent of repeated words.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Most false rejections of good documents by one rule; probability that any guarantee fails.
-RISK, DELTA = 0.01, 0.05
-#: Rules: numerator over denominator, and the cutoffs tried.
+#: Most false rejections of a stratum's good documents by all rules; probability that any stratum's guarantee fails.
+RISK, DELTA = 0.025, 0.05
+#: Rules: numerator over denominator, and the cutoffs tried, the severe ones first.
 RULES = {
     "symbols": ("n_symbols", "n_words", (0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0)),
     "dup_lines": ("n_dup_lines", "n_lines", (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)),
@@ -102,23 +104,34 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(measure, f"doc_id long, lang string, {', '.join(f'{c} long' for c in COUNTS)}")
 
 
+def at_most(failures: int, trials: int, p: float) -> float:
+    """The probability of so few failures or fewer, for failures up to the expected number."""
+    term = math.exp(math.lgamma(trials + 1) - math.lgamma(failures + 1) - math.lgamma(trials - failures + 1) + failures * math.log(p) + (trials - failures) * math.log1p(-p))
+    total = 0.0
+    for k in range(failures, -1, -1):  # the terms get smaller
+        total += term
+        if term < total * 1e-17:
+            break
+        term *= k * (1 - p) / ((trials - k + 1) * p)
+    return total
+
+
 def binomial_upper(failures: int, trials: int, error: float) -> float:
     """The exact upper confidence limit of a proportion."""
     if failures >= trials:
         return 1.0
-
-    def tail(p: float) -> float:  # probability of so few failures
-        logs = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p) for k in range(failures + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
     low, high = failures / trials, 1.0
     for _ in range(50):
         mid = (low + high) / 2
-        low, high = (mid, high) if 0 < mid < 1 and tail(mid) > error else (low, mid)
+        low, high = (mid, high) if 0 < mid < 1 and at_most(failures, trials, mid) > error else (low, mid)
     return high
 
 
+def controlled(failures: int, trials: int, risk: float, error: float) -> bool:
+    """Whether the exact upper limit of the proportion is at most the risk."""
+    return failures < risk * trials and at_most(failures, trials, risk) <= error
+
+
 def _ratio(rule: str):
     a, b, _ = RULES[rule]
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -128,14 +141,30 @@ def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+STEPS = min(len(cs) for _, _, cs in RULES.values())
+
+
+def step_cutoffs(step: int) -> dict[str, float]:
+    """The cutoffs of a step; 0 is the mildest."""
+    return {rule: cs[-1 - step] for rule, (_, _, cs) in RULES.items()}
+
+
+def chosen(failures: list[int], trials: int, risk: float, error: float) -> int | None:
+    """The last step before the first that fails; None if the first one does."""
+    held = next((k for k, f in enumerate(failures) if not controlled(f, trials, risk, error)), len(failures))
+    return held - 1 if held else None
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """stratum and a cutoff for each rule (null: none); one row by stratum that has labelled good documents."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     holdout = counts.where(~base_failed()).join(good, "doc_id", "left_semi").groupBy(F.col("lang").alias("stratum"))
-    tried = [(rule, k, c) for rule, (_, _, cs) in RULES.items() for k, c in enumerate(cs)]
-    found = holdout.agg(F.count("*").alias("n"), *(F.sum((_ratio(rule) > c).cast("long")).alias(f"{rule}_{k}") for rule, k, c in tried)).collect()  # one row by language
-    error = delta / max(1, len(found) * len(tried))
-    rows = [(r["stratum"], *(next((c for k, c in enumerate(cs) if binomial_upper(r[f"{rule}_{k}"], r["n"], error) <= risk), None) for rule, (_, _, cs) in RULES.items())) for r in found]
+    rejected = lambda k: reduce(lambda a, b: a | b, (_ratio(rule) > c for rule, c in step_cutoffs(k).items()))
+    found = holdout.agg(F.count("*").alias("n"), *(F.sum(rejected(k).cast("long")).alias(f"f{k}") for k in range(STEPS))).collect()  # one row by language
+    rows = []
+    for r in found:
+        step = chosen([r[f"f{k}"] for k in range(STEPS)], r["n"], risk, delta / len(found))
+        rows.append((r["stratum"], *(None if step is None else c for c in step_cutoffs(step or 0).values())))
     return counts.sparkSession.createDataFrame(rows, "stratum string, " + ", ".join(f"cut_{rule} double" for rule in RULES))
 
 

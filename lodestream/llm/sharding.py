@@ -24,8 +24,10 @@ from . import _spark
 SHARDS = 8
 #: Hex digits of the first sums and of each further split.
 FIRST, FURTHER = 3, 2
-#: Rows of a hash prefix (two digits) are numbered in so many parts, so that one text's copies are shared out.
-PARTS = 64
+#: Rows of a hash prefix (two digits) are numbered in so many parts at least, so that one text's copies are shared out; rows to a further part.
+PARTS, SHARED = 64, 1 << 24
+#: The key of null texts: no MD5, and after all of them.
+NULL = "g" * 32
 
 
 def _ends(sizes: list[int]) -> list[int]:
@@ -92,13 +94,13 @@ def cut_points(groups: DataFrame, shards: int) -> list[str]:
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     text = F.col("text").cast("binary")
-    rows = _spark.saved(docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.md5(text), F.md5(F.lit("null text").cast("binary"))).alias("md5")))
-    cuts = cut_points(rows, shards)
+    rows = _spark.saved(docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.md5(text), F.lit(NULL)).alias("md5")))
+    cuts, parts = cut_points(rows, shards), max(PARTS, rows.count() // SHARED)
     shard = sum(((F.col("md5") >= c).cast("int") for c in cuts), F.lit(0))
-    placed = rows.select("*", shard.cast("int").alias("shard"), F.substring("md5", 1, 2).alias("bin"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
-    units = placed.groupBy("shard", "bin", "part").agg(F.count("*").alias("n"))  # at most (256 + shards) * PARTS rows
+    placed = rows.select("*", shard.cast("int").alias("shard"), F.substring("md5", 1, 2).alias("bin"), F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"))
+    units = placed.groupBy("shard", "bin", "part").agg(F.count("*").alias("n"))  # at most (257 + shards) * parts rows
     before = Window.partitionBy("shard").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = units.select("shard", "bin", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("shard", "bin", "part").orderBy("md5", F.col("doc_id").asc_nulls_first())
-    numbered = placed.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(firsts), ["shard", "bin", "part"])
+    numbered = placed.withColumn("own", F.row_number().over(own) - 1).join(firsts, ["shard", "bin", "part"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -143,6 +143,39 @@ def test_rules(spark, data, sample, odd, empty):
     assert quality_rules.judged(empty, labels).count() == 0
 
 
+def test_kept_against_trying_each_step(spark):
+    """Cutoffs and verdicts by brute force: each step tested with sums of binomial terms, in order, until one fails."""
+    import math
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(1600):
+        lang = ["en", "de", None][k % 3] if k % 8 else "fr"
+        text = " ".join(f"w{k}x{j}" for j in range(60)) + " #" * int(rng.choice([0, 0, 0, 4, 9, 16, 24, 40], p=[0.3, 0.3, 0.3, 0.04, 0.02, 0.02, 0.01, 0.01]))
+        rows.append((k, text + "\n" + "same line of words\n" * int(rng.choice([0, 1, 3], p=[0.97, 0.02, 0.01])), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = {k for k in range(1600) if k % 7}
+    labels = spark.createDataFrame([(k, int(k in good)) for k in range(1500)], "doc_id long, quality int")
+    counts = {r["doc_id"]: r.asDict() for r in quality_rules.measured(docs).collect()}
+    ratio = lambda r, rule: r[quality_rules.RULES[rule][0]] / max(1, r[quality_rules.RULES[rule][1]])
+    fails = lambda r, cuts: any(ratio(r, rule) > c for rule, c in cuts.items())
+    base = lambda r: r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"]
+    strata = {lang for _, _, lang in rows}
+    found = {}
+    for lang in strata:
+        hold = [r for d, r in counts.items() if r["lang"] == lang and d in good and d < 1500 and not base(r)]
+        found[lang] = {}
+        for step in range(quality_rules.STEPS):
+            cuts, n = quality_rules.step_cutoffs(step), len(hold)
+            f = sum(fails(r, cuts) for r in hold)
+            if f >= quality_rules.RISK * n or sum(math.comb(n, j) * quality_rules.RISK**j * (1 - quality_rules.RISK) ** (n - j) for j in range(f + 1)) > quality_rules.DELTA / len(strata):
+                break
+            found[lang] = cuts
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(docs, labels).collect()}
+    assert got == {d: not base(r) and not fails(r, found[r["lang"]]) for d, r in counts.items()}
+    assert any(found.values()) and not all(got.values())
+
+
 def test_thresholds_need_evidence(spark, sample):
     """With many good documents a cutoff is found; with few none is."""
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(60)) + " #" * (30 if k % 500 == 0 else 0), "en") for k in range(1500)]
@@ -316,6 +349,13 @@ def test_folded_offsets():
     assert got == [re.sub(r"\s+", " ", (x or "").casefold()) for x in texts]
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "a rather short item"), (2, "tiny"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here stands A rather  SHORT item, whole"), (2, "a rather short items"), (3, "a rather sort item"), (4, "a rather short item")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.searched(docs, bench).collect()) == [(1, 1), (4, 1)]
+    assert sorted(r["item_id"] for r in decontamination.unsearched(bench).collect()) == [2, 3]
+
+
 def test_excerpts_at_every_offset(data):
     """Of each item, every excerpt of SHORT + STEP - 1 characters is found wherever it begins, and so is one edited in a way that RATE allows."""
     import pyarrow as pa
@@ -370,7 +410,7 @@ def plain_suffix(rows, width=200):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("name", "together"), [("odd", 2000), ("odd", 1), ("sample", 2000)])
+@pytest.mark.parametrize(("name", "together"), [("odd", 1 << 18), ("odd", 3000), ("odd", 1), ("sample", 1 << 18)])
 def test_repeated_bytes(name, together, request):
     docs = request.getfixturevalue(name)
     got = suffix_dedup.digest(docs, together=together).collect()
