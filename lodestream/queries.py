@@ -6,7 +6,6 @@ vectors, documents, orders and declared state.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +20,7 @@ from .plans.compile import pattern_column
 from .plans.match import Matcher, evaluated, filtered, match_matrix, survives
 from .sources import taps
 from .sources.envelope import emitted, sample_events, sample_stream, typed
+from .sources.store import shared_folder
 from .streaming import plans as streams
 from .streaming import stateful
 
@@ -238,6 +238,9 @@ def emit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- absence ------------------------------------------------------------------------------
 
+ABSENT = {}
+
+
 def _absent(name: str, text: str, condition: str) -> None:
     sub = parse(f"on app.signup.** expect app.purchase.** {text} else then cmd alarm")
     seconds = sub.expect.within.seconds
@@ -245,7 +248,7 @@ def _absent(name: str, text: str, condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return absence.expired(sample_events(spark, sf_dir), sub).select("seq", "id", F.unix_micros("deadline").alias("deadline"))
 
-    QUERIES[name] = run
+    QUERIES[name], ABSENT[name] = run, sub
     ORACLE[name] = f"""WITH {EV} SELECT seq, id, t + {seconds * 1_000_000} AS deadline FROM ev o WHERE event_type = 'signup' AND NOT EXISTS (
   SELECT 1 FROM ev e WHERE e.event_type = 'purchase' AND e.seq > o.seq AND e.t >= o.t AND e.t < o.t + {seconds * 1_000_000} AND {condition})"""
 
@@ -311,7 +314,7 @@ r AS (
 @query(f"WITH {_batch_sql(7200)} SELECT sub_id, arg_max(seq, rn) AS seq, count(*) AS count, 0 AS dropped_over_cap, we AS at_micros, sum(seq)::BIGINT AS seq_sum FROM r GROUP BY sub_id, we")
 def batch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.aggregate("events", F.lit(0).cast("long"), lambda a, x: a + x)
-    return folds.batched(_by_type(spark, sf_dir), 7200).select("sub_id", "seq", "count", "dropped_over_cap", "at_micros", total.alias("seq_sum"))
+    return folds.batched(_by_type(spark, sf_dir), 7200, queue=None).select("sub_id", "seq", "count", "dropped_over_cap", "at_micros", total.alias("seq_sum"))
 
 
 @query(f"WITH {_batch_sql(40 * 86400)} SELECT sub_id, arg_max(seq, rn) AS seq, least(count(*), 1000) AS count, greatest(count(*) - 1000, 0) AS dropped_over_cap FROM r GROUP BY sub_id, we")
@@ -352,9 +355,7 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drained(stream: DataFrame) -> DataFrame:
     """What a stream gives of all there is, by way of the shared folder."""
     spark = stream.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-"))
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     streams.run_once(stream, f"{folder}/out", f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -365,11 +366,26 @@ def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(filtered(sample_stream(spark, sf_dir), sub).select("seq", "id"))
 
 
-@query(f"SELECT * FROM ({ORACLE['debounce']}) WHERE kind = 'leading'")
+@query(f"SELECT * FROM ({ORACLE['debounce']}) WHERE kind = 'leading' OR at_micros <= (SELECT max(epoch_us(ts)) FROM events)")
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leading deliveries; the last windows' closes wait for later events."""
+    """The windows that are open at the end close when later events come."""
     rows = sample_stream(spark, sf_dir).withWatermark("event_time", "0 seconds").select("seq", "event_time", F.element_at(F.split("subject", r"\."), 2).alias("sub_id"))
-    return _drained(stateful.debounced(rows, 3600)).where("kind = 'leading'")
+    return _drained(stateful.debounced(rows, 3600))
+
+
+def _absent_stream(name: str) -> None:
+    """The same absence on a stream, for origins whose deadline lies before the end of what both sides have."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = streams.expired(sample_stream(spark, sf_dir), ABSENT[name])
+        return _drained(out.select("seq", "id", F.unix_micros("deadline").alias("deadline")))
+
+    QUERIES[f"stream_{name}"] = run
+    ORACLE[f"stream_{name}"] = f"SELECT * FROM ({ORACLE[name]}) WHERE deadline <= (SELECT least(max(epoch_us(ts)) FILTER (event_type = 'signup'), max(epoch_us(ts)) FILTER (event_type = 'purchase')) FROM events)"
+
+
+_absent_stream("expect_any")
+_absent_stream("expect_payload")
 
 
 @query(ORACLE["limit_n"].replace("SELECT sub_id, seq, n, sub_id || ':' || id || ':' || n AS delivery_id", "SELECT sub_id, seq, n"))
