@@ -30,7 +30,7 @@ def run_batch(events: DataFrame, sub_id: str, sub: Subscription, verdicts: DataF
     if sub.meaning and not sub.expect:
         said = lambda rows: embedded(rows.withColumn("_text", projected(F.col("payload_json"))), "_text", embed)
         if sub.meaning.novel:
-            vectors = said(events).select("seq", "event_time", "vec")
+            vectors = said(found).select("seq", "event_time", "vec")  # what the cheaper clauses let through is the window, too
             found = found.join(novelty(vectors, sub.meaning.over.seconds).where(F.col("score") > sub.meaning.threshold).select("seq"), "seq", "left_semi")
         else:
             goal = descriptors or [(d, embed(d).tolist()) for d in sub.meaning.descriptors]

@@ -25,18 +25,18 @@ class Duration:
         found = re.fullmatch(r"(\d*)([^\d].*)?", text.strip(), re.S)
         count, unit = (found.group(1), found.group(2)) if found else ("", None)
         if unit is None:
-            raise ParseError(f"duration '{text}' is missing a unit")
+            raise ParseError(f"'{text}' has no unit of time")
         if not count:
-            raise ParseError(f"invalid duration '{text}'")
+            raise ParseError(f"'{text}' is no length of time")
         if unit not in UNITS:
-            raise ParseError(f"unknown duration unit '{unit}' (use s, m, h, d, w)")
+            raise ParseError(f"'{unit}' is no unit of time; these are s, m, h, d, w")
         if int(count) >= 2**64 or int(count) * UNITS[unit] >= 2**64:
-            raise ParseError("duration overflow")
+            raise ParseError("a length of time beyond what can be counted")
         return cls(f"{int(count)}{unit}", int(count) * UNITS[unit])
 
     @classmethod
     def read(cls, source: Reader) -> Duration:
         text = source.take(_SHAPE)
         if text is None:
-            raise ParseError(f"expected a duration like 30m/2h/7d, found {source.next_shown()}")
+            raise ParseError(f"a length of time such as 30m should stand at {source.next_shown()}")
         return cls.parse("".join(text.split()))

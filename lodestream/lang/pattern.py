@@ -40,7 +40,7 @@ class Pattern:
         while True:
             part = source.take(_PART)
             if part is None:
-                raise ParseError(f"expected a subject token, found {source.next_shown()}")
+                raise ParseError(f"a part of a subject should stand at {source.next_shown()}")
             parts.append(part)
             if source.take_here(_DOT) is None:
                 return cls.of(parts, ".".join(parts))

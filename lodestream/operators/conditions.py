@@ -23,32 +23,55 @@ class Condition:
     labels: dict[str, str] = field(default_factory=dict)
 
 
+#: Seconds of a stretch of datapoints that is gone through in one task.
+STRETCH = 3600
+
+
 def _points(datapoints: DataFrame, condition: Condition) -> DataFrame:
-    """The datapoints of a condition, whether each holds, and the run it is in.  Hosts that fit the labels share runs."""
+    """The datapoints of a condition and whether each holds.  Hosts that fit the labels share it."""
     rows = datapoints.where(F.col("name") == condition.metric)
     for key, value in condition.labels.items():
         rows = rows.where(F.col("labels")[key] == value)
-    order = Window.partitionBy("condition").orderBy("ts", "seq")
     holds = F.coalesce(ORDER[SIGNS[condition.op]](F.col("value"), F.lit(condition.threshold)), F.lit(False))
-    rows = rows.select(F.lit(condition.name).alias("condition"), "seq", "ts", "value", "labels", holds.alias("holds"))
-    changed = F.coalesce((F.col("holds") != F.lag("holds").over(order)).cast("int"), F.lit(0))
-    return rows.withColumn("_c", changed).withColumn("run", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    return rows.select(F.lit(condition.name).alias("condition"), "seq", "ts", "value", "labels", holds.alias("holds"), t.alias("_t"), F.floor(t / (STRETCH * 1_000_000)).alias("_part"))
 
 
 def _marked(datapoints: DataFrame, condition: Condition) -> DataFrame:
-    run = Window.partitionBy("condition", "run")
-    held = F.col("holds") & (F.unix_micros(F.col("ts").cast("timestamp")) - F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(run) >= condition.hold * 1_000_000)
-    rows = _points(datapoints, condition).withColumn("held", held)
-    before = Window.partitionBy("condition", "run").orderBy("ts", "seq")
-    rows = rows.withColumn("entered", F.col("held") & (F.sum(F.col("held").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)) == 1)).withColumn("was", F.max("held").over(run)).withColumn("first", F.row_number().over(before) == 1)
-    order = Window.partitionBy("condition").orderBy("ts", "seq")
-    return rows.withColumn("cleared", ~F.col("holds") & F.col("first") & F.coalesce(F.lag("was").over(order), F.lit(False)))
+    """The points with since (when the run of holding ones began that a point is in) and before (the same of the point before it, with that one's time).
+
+    Within a stretch both come from its own rows; what reaches in from earlier ones is summed up by stretch.
+    """
+    rows = _points(datapoints, condition)
+    order = Window.partitionBy("condition", "_part").orderBy("_t", "seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    began = F.when(F.col("holds") & ~F.coalesce(F.lag("holds").over(order), F.lit(False)), F.struct("_t", F.lag("seq").over(order).isNull().alias("open")))
+    # the last point that began a run, or that doesn't hold
+    mark = F.last(F.coalesce(F.when(~F.col("holds"), F.struct(F.lit(None).cast("long").alias("_t"), F.lit(False).alias("open"))), F.col("_began")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("_began", began).withColumn("_mark", mark).withColumn("_own", F.struct("_mark._t", "_mark.open", F.col("_t").alias("at"))).withColumn("_prev", F.lag("_own").over(order))
+    ends = rows.groupBy("condition", "_part").agg(F.max_by("_own", F.struct("_t", "seq")).alias("_end"))
+    # a stretch that holds throughout goes on with what came in, if anything did
+    by_part = Window.partitionBy("condition").orderBy("_part")
+    going = ends.withColumn("_fresh", ~F.col("_end.open") | F.coalesce(F.lag("_end._t").over(by_part).isNull(), F.lit(True)))
+    since = F.last(F.when(F.col("_fresh"), F.struct(F.col("_end._t").alias("since"))), ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    come = going.select(F.col("condition").alias("_c"), F.col("_part").alias("_p"), since.getField("since").alias("_since"), F.lag("_end.at").over(by_part).alias("_at"))
+    rows = rows.join(come, (F.col("condition") == F.col("_c")) & F.col("_part").eqNullSafe(F.col("_p")))
+    reach = lambda x: F.when(F.col(f"{x}.open"), F.coalesce("_since", f"{x}._t")).otherwise(F.col(f"{x}._t"))
+    rows = rows.withColumn("since", reach("_own"))
+    first = F.col("_prev").isNull()
+    return rows.withColumn("before", F.when(first, F.struct(F.col("_since").alias("since"), F.col("_at").alias("at"))).otherwise(F.struct(reach("_prev").alias("since"), F.col("_prev.at").alias("at"))))
+
+
+def _held(since: str, at: str, condition: Condition):
+    return F.coalesce(F.col(at) - F.col(since) >= condition.hold * 1_000_000, F.lit(False))
 
 
 def transitions(datapoints: DataFrame, condition: Condition) -> DataFrame:
     """condition, transition, seq, ts, value; datapoints have seq, ts, name, value, labels."""
-    rows = _marked(datapoints, condition).where("entered or cleared")
-    return rows.select("condition", F.when(F.col("entered"), F.lit("entered")).otherwise(F.lit("cleared")).alias("transition"), "seq", "ts", "value", "labels")
+    rows = _marked(datapoints, condition)
+    was = _held("before.since", "before.at", condition)  # entered before this point
+    rows = rows.withColumn("transition", F.when(_held("since", "_t", condition) & ~was, F.lit("entered")).when(~F.col("holds") & was, F.lit("cleared"))).where("transition is not null")
+    return rows.select("condition", "transition", "seq", "ts", "value", "labels")
 
 
 def transition_events(datapoints: DataFrame, condition: Condition) -> DataFrame:
@@ -59,8 +82,5 @@ def transition_events(datapoints: DataFrame, condition: Condition) -> DataFrame:
 
 def status(datapoints: DataFrame, condition: Condition) -> DataFrame:
     """condition, active, last_value."""
-    rows = _marked(datapoints, condition)
-    now = rows.groupBy("condition").agg(F.max_by("value", F.struct("ts", "seq")).alias("last_value"), F.max_by(F.struct("run", "holds"), F.struct("ts", "seq")).alias("end"))
-    runs = rows.groupBy("condition", "run").agg(F.max("held").alias("was"))
-    joined = now.join(runs.withColumnRenamed("condition", "c"), (F.col("condition") == F.col("c")) & (F.col("end.run") == F.col("run")))
-    return joined.select("condition", (F.col("was") & F.col("end.holds")).alias("active"), "last_value")
+    end = _marked(datapoints, condition).groupBy("condition").agg(F.max_by(F.struct("value", "since", "_t"), F.struct("_t", "seq")).alias("end"))
+    return end.select("condition", _held("end.since", "end._t", condition).alias("active"), F.col("end.value").alias("last_value"))

@@ -16,20 +16,24 @@ from .folds import budgeted
 Verdict = tuple[bool, str]
 
 
-def parsed_verdict(text: str) -> Verdict:
-    """(verdict, rationale) of a model's answer: JSON anywhere in it, or a leading yes or no."""
-    found = re.search(r"\{.*\}", text, re.S)
-    try:
-        value = json.loads(found.group() if found else text)
-        if isinstance(value, dict) and isinstance(value.get("verdict"), bool):
-            return value["verdict"], value["rationale"] if isinstance(value.get("rationale"), str) else ""
-    except ValueError:
-        pass
-    low = text.lower()
-    for word, verdict in (("yes", True), ("no", False)):
-        if f'"verdict": {str(verdict).lower()}' in low or low.lstrip().startswith(word):
-            return verdict, text[:200]
-    raise ValueError(f"could not parse judge verdict from: {text}")
+def parsed_verdict(answer: str) -> Verdict:
+    """(verdict, rationale): the first JSON object with a boolean ``verdict``, wherever it stands; else what follows a leading yes or no."""
+    decoder, at = json.JSONDecoder(), answer.find("{")
+    while at >= 0:
+        try:
+            found, _ = decoder.raw_decode(answer, at)
+        except ValueError:
+            found = None
+        match found:
+            case {"verdict": bool(verdict), "rationale": str(why)}:
+                return verdict, why
+            case {"verdict": bool(verdict)}:
+                return verdict, ""
+        at = answer.find("{", at + 1)
+    token = re.match(r"\W*(yes|no)\b\W*", answer, re.IGNORECASE)
+    if token is None:
+        raise ValueError("the answer holds no verdict")
+    return token[1].lower() == "yes", answer[token.end() :]
 
 
 def rule_judge(question: str, summary: str) -> str:

@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lang.duration import Duration
+from ..sources.store import saved
 
 #: Most hops of an event between logs; seconds that rows are kept.
 HOPS, RETENTION = 8, 7 * 86400
+#: Tasks by day of an append; sequence numbers of a bucket that deliveries are numbered in.
+PARTS, BUCKET = 16, 1 << 16
 
 
 def events_after(events: DataFrame, after: int | None = None, last: int | None = None) -> DataFrame:
-    """Events with an id beyond a sequence number, in order; with ``last``, only so many at the end."""
-    out = events.where("id <> ''")
-    if after is not None:
-        out = out.where(F.col("seq") > after)
-    return (out.orderBy(F.desc("seq")).limit(last) if last is not None else out).orderBy("seq")
+    """Events beyond a sequence number, in order; with ``last``, only so many places at the end.  Events without an id go afterwards."""
+    out = events if after is None else events.where(F.col("seq") > after)
+    return (out.orderBy(F.desc("seq")).limit(last) if last is not None else out).where("id <> ''").orderBy("seq")
 
 
 def events_next(events: DataFrame, after: int, most: int) -> DataFrame:
-    return events.where(F.col("seq") > after).orderBy("seq").limit(most)
+    """The next so many places of the log; those whose event has no id are passed over."""
+    return events.where(F.col("seq") > after).orderBy("seq").limit(most).where("id <> ''")
 
 
 def events_since(events: DataFrame, ts: str) -> DataFrame:
@@ -41,7 +43,8 @@ def tail(events: DataFrame, on: Column | None = None, after: int | None = None,
 def append(events: DataFrame, path: str) -> None:
     """Append to a log stored by day."""
     plain = events.drop("payload").withColumn("day", F.substring("ts", 1, 10))
-    plain.repartition("day").sortWithinPartitions("seq").write.mode("append").partitionBy("day").parquet(path)
+    parts = F.pmod(F.xxhash64("seq"), F.lit(PARTS))  # a day is as many tasks and files
+    plain.repartition("day", parts).sortWithinPartitions("day", "seq").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -96,11 +99,19 @@ def resumed(cursors: DataFrame, events: DataFrame, after: DataFrame) -> DataFram
 # ---- lifetimes -------------------------------------------------------------------------
 
 def numbered_deliveries(matches: DataFrame, limit: int | None = None) -> DataFrame:
-    """Matches (seq, id, sub_id) with n and delivery_id; with a limit, the first so many by subscription."""
-    n = F.row_number().over(Window.partitionBy("sub_id").orderBy("seq"))
-    out = matches.withColumn("n", n)
+    """Matches (seq, id, sub_id) with n and delivery_id; with a limit, the first so many by subscription.
+
+    Without a limit, buckets of sequence numbers are counted first and numbered each by itself, so that no
+    subscription's matches meet in one task.
+    """
     if limit is not None:
-        out = out.where(F.col("n") <= limit)
+        out = matches.withColumn("n", F.row_number().over(Window.partitionBy("sub_id").orderBy("seq"))).where(F.col("n") <= limit)  # no task hands on more than these
+    else:
+        rows = matches.withColumn("_b", F.floor(F.col("seq") / BUCKET))
+        counts = rows.groupBy(F.col("sub_id").alias("_s"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+        before = counts.select("_s", "_c", F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        own = F.row_number().over(Window.partitionBy("sub_id", "_b").orderBy("seq"))
+        out = rows.withColumn("n", own).join(before, F.col("sub_id").eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_c"))).select(*matches.columns, (F.col("n") + F.col("_before")).cast("long").alias("n"))
     return out.withColumn("delivery_id", F.concat_ws(":", "sub_id", "id", "n"))
 
 
@@ -119,13 +130,17 @@ def chained(events: DataFrame, rules: list[tuple], rounds: int = HOPS) -> DataFr
     ``generation`` is 0 for the events themselves; there are at most ``rounds`` more.
     """
     kept = events.select("seq", "id", "subject", "source", "node", "type", "ts", "correlation", "payload", F.lit(0).alias("generation"))
-    out, last = kept, kept
+    out, last = kept, kept  # a generation is kept, so that the next one doesn't make it again
     for k in range(1, rounds + 1):
         made = None
         for predicate, sub_id, subject in rules:
             one = last.where(predicate).select("seq", F.concat_ws(">", "id", F.lit(sub_id)).alias("id"), F.lit(subject).alias("subject"), F.lit("emit").alias("source"), "node", F.lit(subject).alias("type"), "ts", "correlation", "payload", F.lit(k).alias("generation"))
             made = one if made is None else made.union(one)
-        if made is None or made.isEmpty():
+        if made is None:
+            break
+        made = saved(made.withColumn("payload", F.to_json("payload")))
+        if made.isEmpty():
             break
-        out, last = out.union(made), made
+        last = made.withColumn("payload", F.parse_json("payload"))
+        out = out.union(last)
     return out

@@ -1,11 +1,13 @@
-"""Where deliveries go: rendered rows, an outbox, and commands (which are off unless asked for)."""
+"""Where deliveries go: rendered rows, an outbox and its requests, and commands (both are off unless asked for)."""
 
 from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.request import Request, urlopen
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +55,38 @@ def to_command(sub: Subscription, allow: bool = False) -> Callable[[DataFrame, i
             subprocess.Popen(["sh", "-c", words], env=env)
 
     return sink
+
+
+#: Seconds that a receiver has to answer; characters of an error that are kept.
+ANSWER, ERROR = 10, 300
+
+
+def sent(due: DataFrame, token: str | None = None, allow: bool = False) -> DataFrame:
+    """(delivery_id, ok, error) of one try of each due row of an outbox; any answer below 400 is a success.  Refuses unless allowed.
+
+    The requests go out from the executors; a try that is repeated after a lost executor reaches the
+    receiver again, which has the delivery's id to tell.
+    """
+    if not allow:
+        raise PermissionError("requests are off; pass allow=True to send them")
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for delivery_id, method, url, body in zip(batch["delivery_id"], batch["method"], batch["url"], batch["body"], strict=True):
+                headers = {"content-type": "application/json", **({"authorization": f"Bearer {token}"} if token else {})}
+                try:
+                    with urlopen(Request(url, (body or "").encode(), headers, method=method), timeout=ANSWER):
+                        out.append((delivery_id, True, None))
+                except (OSError, ValueError) as e:
+                    out.append((delivery_id, False, str(e)[:ERROR]))
+            yield pd.DataFrame(out, columns=["delivery_id", "ok", "error"])
+
+    return due.select("delivery_id", "method", "url", "body").mapInPandas(post, "delivery_id string, ok boolean, error string")
+
+
+def delivery_events(stepped: DataFrame, results: DataFrame) -> DataFrame:
+    """Partial events of an outbox step: the first failure of a delivery, and its end without success."""
+    told = stepped.where((F.col("status") == "failed") | ((F.col("status") == "retrying") & (F.col("attempts") == 1))).join(results.select("delivery_id", "error"), "delivery_id")
+    payload = F.to_json(F.struct(F.col("delivery_id").alias("deliveryId"), F.lit("http").alias("sink"), "url", F.when(F.col("status") == "failed", F.col("attempts")).alias("attempts"), "error"))
+    return told.select(F.concat(F.lit("lodestream.delivery."), "status").alias("subject"), F.lit("lodestream").alias("source"), payload.alias("payload_json"))

@@ -93,7 +93,7 @@ def why_not(events: DataFrame, sub_id: str, sub: Subscription) -> DataFrame:
     """id, matched, rejected_at, reason (or the match) of events for one subscription."""
     pending = "+".join(n for n in ("meaning", "judge") if getattr(sub, n))
     out = evaluated(events, sub_id, sub)
-    reason = F.when(F.col("outcome") == "pending", F.lit(f"passed tiers 1-2; {pending} not evaluated")).otherwise(F.col("reason"))
+    reason = F.when(F.col("outcome") == "pending", F.lit(f"the deterministic clauses hold; {pending} is still to be asked")).otherwise(F.col("reason"))
     return out.select("seq", "id", "sub_id", (F.col("outcome") == "matched").alias("matched"), "rejected_at", reason.alias("reason"), "match")
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang.subscription import Subscription
-from ..operators import absence
-from ..operators.log import hop_capped
+from ..operators import absence, log
+from ..operators.deliveries import grant_filter
+from ..operators.log import events_after, hop_capped, read_log
 from ..plans.match import filtered
-from ..sources.envelope import parsed_events
+from ..sources.envelope import numbered, parsed_events, typed
+from ..sources.store import saved
 from . import stateful
 
 
@@ -50,6 +53,42 @@ def matched(events: DataFrame, sub_id: str, sub: Subscription, delay: str = "0 s
     return stateful.limited(found, sub.limit) if sub.limit else found
 
 
+def tail(spark: SparkSession, log_path: str, on: str | None = None, after: int | None = None, last: int | None = None) -> DataFrame:
+    """What a listener gets: the backlog it asks for, then what is appended to the log, each event once.
+
+    Both come from one stream over the log's files, so nothing can fall between them.  ``on`` is
+    a filter (on, from, where); ``last`` is counted over what passes it, when the listener joins.
+    """
+    plain = spark.read.parquet(log_path)
+    wanted = (lambda rows: filtered(rows, grant_filter(on))) if on else (lambda rows: rows)
+    if last is not None:
+        first = events_after(wanted(typed(plain)), after, last).agg(F.min("seq"), F.max("seq")).first()
+        newest = plain.agg(F.max("seq")).first()[0]
+        after = max(after or 0, (newest or 0) if first[0] is None else first[0] - 1)
+    rows = typed(spark.readStream.schema(plain.schema).parquet(log_path)).where("id <> ''")
+    return wanted(rows if after is None else rows.where(F.col("seq") > after))
+
+
+def bridge(upstream: DataFrame, log_path: str, text: str, checkpoint: str) -> None:
+    """Take what an upstream stream has of a filter into this log: new ids only, one hop more, within the cap, numbered on.
+
+    The upstream position is committed after a batch is in the log; a batch that comes again brings ids that are known.
+    """
+    spark = upstream.sparkSession
+
+    def take(batch: DataFrame, number: int) -> None:
+        try:
+            here = read_log(spark, log_path)
+            known, newest = here.select("id"), here.agg(F.max("seq")).first()[0] or 0
+        except AnalysisException:  # no log yet
+            known, newest = None, 0
+        fresh = saved(log.admitted(batch.drop("payload"), known))
+        log.append(numbered(fresh.drop("seq"), newest + 1), log_path)
+
+    rows = filtered(upstream, grant_filter(text)).drop("payload")
+    rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Take what is there, append it to Parquet, and end; offsets and state stay in the checkpoint for the next run."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
