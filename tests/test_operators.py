@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestream import api
 from lodestream.functions import text as T
 from lodestream.lang import ParseError, parse
-from lodestream.operators import deliveries, judge, log, semantic, sinks
+from lodestream.operators import conditions, deliveries, folds, judge, log, semantic, sinks
 from lodestream.sources import config, imports, taps
 from lodestream.sources.envelope import emitted, parsed_events, read_events, refused, sample_events
 
@@ -193,3 +193,120 @@ def test_whole_subscriptions(spark, data):
 
 def test_parsed_events_needs_objects(spark):
     assert parsed_events(spark.createDataFrame([("3",), ("null",), ('{"x": 1}',)], "value string"), "value").count() == 0
+
+
+def machine_rows(rows, machine):
+    """What a machine says of rows (t, seq), one after another in order."""
+    out = []
+    for t, seq in sorted(rows):
+        out += machine.step(t, seq)
+    return [*out, *machine.finish()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_table_folds_are_the_machines(spark, seed):
+    """Dense, sparse and tied times, a missing key and missing times."""
+    import random
+
+    draw = random.Random(seed)
+    rows, w = [], 10 * 1_000_000
+    for key, span in (("busy", 300), ("calm", 4000), (None, 900), ("edge", 60)):
+        for _ in range(250 if key != "edge" else 6):
+            t = draw.randrange(-span, span) * (1_000_000 if draw.random() < 0.5 else 700_001)
+            rows.append((key, t, len(rows)))
+    rows += [("edge", k * w, len(rows) + k) for k in range(8)] + [("edge", 7 * w, 10**6)]
+    rows = [(k, t, s) for k, t, s in rows]
+    df = spark.createDataFrame([*rows, ("busy", None, 10**7)], "sub_id string, t long, seq long").select("sub_id", F.timestamp_micros("t").alias("event_time"), "seq").repartition(3)
+    of = lambda make: sorted(((k, *(tuple(x) if isinstance(x, list) else x for x in m)) for k in {r[0] for r in rows} for m in machine_rows([r[1:] for r in rows if r[0] == k], make())), key=str)
+    got = lambda out: sorted((tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in out.collect()), key=str)
+    assert got(folds.debounced(df, 10)) == of(lambda: folds.Debounce(w))
+    assert got(folds.budgeted(df, 3, 10)) == of(lambda: folds.Budget(3, w))
+    assert got(folds.batched(df, 10)) == of(lambda: folds.Batch(w))
+    full = folds.batched(df, 400, queue=5).select("seq", "count", "dropped_over_cap", F.size("events").alias("n")).collect()
+    assert all(r["n"] == r["count"] <= 5 for r in full) and any(r["dropped_over_cap"] for r in full)
+    assert folds.batched(df.where("false"), 10).count() == folds.debounced(df.where("false"), 10).count() == 0
+
+
+@pytest.mark.parametrize("hold", [0, 1800, 9000])
+def test_conditions_over_stretches(spark, hold):
+    """Runs that reach over many stretches, from the plain machine."""
+    import random
+
+    from lodestream.streaming.stateful import Held
+
+    draw, points, level = random.Random(hold), [], 0.0
+    for k in range(400):
+        level = draw.random() if draw.random() < 0.06 else level
+        points.append((k, draw.randrange(0, 60) * 60 + k * 700, level))
+    points.sort(key=lambda p: (p[1], p[0]))
+    machine, want = Held("gt", 0.5, hold * 1_000_000), []
+    for seq, t, value in points:
+        want += [(kind, s) for kind, s, _ in machine.step(t * 1_000_000, seq, value)]
+    df = spark.createDataFrame(points, "seq long, t long, value double").select("seq", F.timestamp_seconds("t").alias("ts"), F.lit("m").alias("name"), "value", F.create_map(F.lit("a"), F.lit("b")).alias("labels")).repartition(3)
+    condition = conditions.Condition("c", "m", "gt", 0.5, hold)
+    assert sorted((r["transition"], r["seq"]) for r in conditions.transitions(df, condition).collect()) == sorted(want)
+    assert [(r["active"], r["last_value"]) for r in conditions.status(df, condition).collect()] == [(machine.active, points[-1][2])]
+
+
+def test_absence_against_trying_all(spark):
+    """Ties in time, numbers out of order, null keys and a missing time."""
+    import random
+
+    from lodestream.operators import absence
+
+    draw = random.Random(2)
+    rows = [(k, draw.randrange(0, 400), draw.choice(["a", "b"]), draw.choice(["x", "y", None]), draw.choice([1, 1.0, "1", None, True])) for k in draw.sample(range(1000), 160)] + [(2000, None, "a", "x", 1)]
+    text = lambda v: "{}" if v is None else f'{{"v": {str(v).lower() if not isinstance(v, str) else chr(34) + v + chr(34)}}}'
+    df = spark.createDataFrame([(s, t, on, c, text(v)) for s, t, on, c, v in rows], "seq long, t long, subject string, correlation string, payload_json string").select("seq", F.timestamp_seconds("t").alias("event_time"), "subject", "correlation", "payload_json", F.parse_json("payload_json").alias("payload"), F.lit("n").alias("node"), F.lit("s").alias("source"))
+    same = lambda p, q: p == q and isinstance(p, str) == isinstance(q, str) and isinstance(p, bool) == isinstance(q, bool)
+    for where, holds in (("", lambda o, e: True), ("where correlation == $origin.correlation ", lambda o, e: o[3] == e[3]), ("where payload.v == $origin.payload.v ", lambda o, e: same(o[4], e[4]))):
+        sub = parse(f"on a expect b {where}within 20s else then cmd x")
+        want = sorted(o[0] for o in rows if o[2] == "a" and not any(e[2] == "b" and o[1] is not None and e[0] > o[0] and o[1] <= e[1] < o[1] + 20 and holds(o, e) for e in rows))
+        out = absence.expired(df, sub)
+        assert sorted(r["seq"] for r in out.collect()) == want
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_and_commands(spark):
+    import http.server
+    import threading
+
+    from lodestream.operators import sinks
+    from lodestream.sources import connector
+
+    class Receiver(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["content-length"]))
+            self.send_response(200 if self.path == "/good" else 500)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, now = f"http://127.0.0.1:{server.server_port}", F.lit("2024-01-01").cast("timestamp")
+    due = spark.createDataFrame([("d1", "POST", f"{base}/good", "{}", 0), ("d2", "POST", f"{base}/bad", "{}", 0), ("d3", "POST", f"{base}/bad", "{}", 4)], "delivery_id string, method string, url string, body string, attempts long").withColumn("next_try", now).withColumn("created", F.when(F.col("delivery_id") == "d3", F.lit("2020-01-01").cast("timestamp")).otherwise(now))
+    with pytest.raises(PermissionError):
+        sinks.sent(due)
+    results = spark.createDataFrame(sinks.sent(due, allow=True).collect(), "delivery_id string, ok boolean, error string")
+    server.shutdown()
+    stepped = deliveries.outbox_step(due, results.select("delivery_id", "ok"), now, 86400)
+    assert {r["delivery_id"]: r["status"] for r in stepped.collect()} == {"d1": "done", "d2": "retrying", "d3": "failed"}
+    assert sorted(r["subject"] for r in sinks.delivery_events(stepped, results).collect()) == ["lodestream.delivery.failed", "lodestream.delivery.retrying"]
+    with pytest.raises(PermissionError):
+        next(connector.exec_events("c", ["true"]))
+    lines = "echo '{\"subject\": \"a.b\", \"payload\": '$LODESTREAM_PARAM_N'}'; echo noise; echo '{\"n\": 1}'"
+    assert list(connector.exec_events("c", ["sh", "-c", lines], params={"n": "7"}, allow=True)) == [{"subject": "a.b", "payload": 7, "source": "connector:c"}]
+    assert [connector.restart_wait(k, False) for k in (0, 1, 9)] == [2, 4, 60] and connector.restart_wait(5, True) == 2
+
+
+def test_a_poll_is_read_again_whole():
+    from lodestream.sources import connector
+
+    records = [{"id": f"r{k}", "n": k} for k in range(800)]
+    start = {"watermark": "", "recent": [], "poll": []}
+    rows, end = connector.fresh(records, start, "id", "n")
+    reader = connector._Reader({"path": "", "watermark": "n"})
+    reader._records = lambda: [*records, {"id": "later", "n": 900}]
+    assert len(rows) == 800 and list(reader.readBetweenOffsets(start, end)) == rows and len(end["recent"]) == 500

@@ -86,3 +86,29 @@ def test_polled_source(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["id"], r["watermark"]) for r in spark.table("polled").collect()) == [("a", "9"), ("b", "10"), ("c", "10")]
+
+
+def test_tail_and_bridge(spark, data, tmp_path):
+    """A listener gets backlog and news once; a bridge takes what its filter lets through once, numbered on."""
+    from lodestream.operators import log
+
+    events, path = sample_events(spark, data), str(tmp_path / "log")
+    log.append(events.where("seq <= 400"), path)
+    want = [r["seq"] for r in events.where("seq <= 400 and subject like 'app.error.%'").orderBy("seq").collect()][-10:]
+    tail = plans.tail(spark, path, "on app.error.**", last=10).select("seq")
+    query = tail.writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "t")).start()
+    query.processAllAvailable()
+    log.append(events.where("seq > 400 and seq <= 500"), path)
+    query.processAllAvailable()
+    query.stop()
+    want += [r["seq"] for r in events.where("seq > 400 and seq <= 500 and subject like 'app.error.%'").collect()]
+    assert sorted(r["seq"] for r in spark.table("tailed").collect()) == sorted(want)
+
+    own = str(tmp_path / "own")
+    for _ in range(2):  # the second run finds nothing new
+        plans.bridge(plans.tail(spark, path), own, "on app.error.**", str(tmp_path / "b"))
+    log.append(events.where("seq > 480 and seq <= 600"), path)  # some come again
+    plans.bridge(plans.tail(spark, path), own, "on app.error.**", str(tmp_path / "b"))
+    got = log.read_log(spark, own).select("seq", "id", "hops").collect()
+    passed = events.where("seq <= 600 and subject like 'app.error.%' and hops < 8")
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in passed.collect()) and sorted(r["seq"] for r in got) == list(range(1, len(got) + 1))
