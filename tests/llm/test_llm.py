@@ -116,6 +116,38 @@ def test_quality(spark, data, sample, odd, empty):
     assert quality_model.scored(odd, labels).count() == odd.count() and quality_model.scored(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_fit_is_row_by_row(spark, sample):
+    """Counts of bins that occur together against rows; the fit from counts against the same steps over rows; clashing names."""
+    rows = quality_model.measured(sample)
+    x = np.array([r["x"] for r in rows.collect()])
+    cells = np.bincount((quality_model._cell(x) + np.arange(x.shape[1]) * quality_model.CELLS).ravel(), minlength=x.shape[1] * quality_model.CELLS)
+    at = quality_model.edges(cells)
+    own = quality_model.bins(x, at)
+    z = np.zeros((len(x), x.shape[1] * quality_model.BINS + 1))
+    np.put_along_axis(z, own, 1, 1)
+    together = quality_model._together(rows, at)
+    assert np.array_equal(together, (z.T @ z).astype(np.int64))
+    trusted, prior = z[::3], 0.6
+    w, m, v = np.append(np.zeros(z.shape[1] - 1), prior), 0, 0
+    for step in range(1, 41):
+        gu, gp = z @ w, trusted @ w
+        if (gu**2).mean() - prior * (gp**2).mean() >= 0:
+            slope = 2 * (prior * (trusted.T @ (gp - 1)) / len(trusted) + z.T @ gu / len(z) - prior * trusted.T @ gp / len(trusted))
+        else:
+            slope = -2 * (z.T @ gu / len(z) - prior * trusted.T @ gp / len(trusted))
+        slope = slope + quality_model.PENALTY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w = w - 0.02 * (1 - step / 41) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    steps, quality_model.STEPS = quality_model.STEPS, 40
+    try:
+        assert np.allclose(quality_model.fit(together, (trusted.T @ trusted).astype(np.int64), prior), w, atol=1e-6)
+    finally:
+        quality_model.STEPS = steps
+    clash = spark.createDataFrame([(1, "a b c", 3, 1.0), (2, None, 3, 1.0), (2, None, 3, 1.0)], "doc_id long, text string, _id int, x double")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_model.scored(clash, labels).count() == 3
+
+
 def test_risk_bound_is_exact():
     for k, n in ((0, 50), (3, 100), (7, 7)):
         p = quality_rules.binomial_upper(k, n, 0.05)
@@ -193,6 +225,9 @@ def test_language(sample, odd, empty):
     assert all(marks[k]["lang_pred"] == "und" and marks[k]["score"] == 0 for k in (0, 1, 2, 12)) and marks[3]["lang_pred"] != "und"
     assert {r["doc_id"] for r in language_id.accepted(odd).collect()} <= set(marks) and language_id.accepted(odd).columns == odd.columns
     assert language_id.identified(empty).count() == 0
+    signs = odd.sparkSession.createDataFrame([(k, t, ("en", "de")[k % 2], 5, "x") for k, t in enumerate(["the cat and the dog", "der hund und die katze"] * 20 + ["\u00b2 \u00bd", "4\u00b2 _ !", "\u00e9"])], "doc_id long, text string, lang string, id int, language string")
+    said = {r["doc_id"]: r["lang_pred"] for r in language_id.identified(signs).collect()}
+    assert said[40] == said[41] == "und" != said[42] and language_id.accepted(signs).columns == signs.columns
     unlearned = language_id.identified(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlearned.collect()} == {"und"}
 
@@ -240,6 +275,12 @@ def test_shards(name, request):
     assert all(len(s) == 1 for s in placed.values())
 
 
+def test_null_text_is_a_group_of_its_own(spark):
+    docs = spark.createDataFrame([(k, None if k % 2 else "null text") for k in range(40)] + [(None, None)] * 9, "doc_id long, text string")
+    rows = sharding.sharded(docs, 2).collect()
+    assert len({(r["shard"], r["size"]) for r in rows}) == 2 and all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows))) for k in (0, 1))
+
+
 def test_minimax_against_trying_all():
     rng = np.random.default_rng(2)
     for _ in range(50):
