@@ -120,12 +120,21 @@ def with_paths(events: DataFrame, paths: set[tuple[str, ...]]) -> tuple[DataFram
     Columns made by ``inline`` stay apart: a filter isn't pushed through it, which
     would put the reading of the payload, and its parsing, in place of every mention.
     """
-    known = {steps: f"_path{k}" for k, steps in enumerate(sorted(paths))}
-    if not known:
-        return events, known
+    known = path_names(paths)
+    for columns in path_columns(known):
+        events = events.select("*", columns)
+    return events, known
+
+
+def path_names(paths: set[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
+    return {steps: f"_path{k}" for k, steps in enumerate(sorted(paths))}
+
+
+def path_columns(known: dict[tuple[str, ...], str]) -> list[Column]:
+    """What ``with_paths`` selects, one after the other."""
     values = [step_into(F.col("payload"), steps).alias(name) for steps, name in known.items()]
     kinds = [F.schema_of_variant(name).alias(f"{name}_schema") for name in known.values()]
-    return events.select("*", F.inline(F.array(F.struct(*values)))).select("*", F.inline(F.array(F.struct(*kinds)))), known
+    return [F.inline(F.array(F.struct(*columns))) for columns in (values, kinds)] if known else []
 
 
 def extracted(name: str) -> list[Column]:

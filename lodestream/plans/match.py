@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..lang import expression as X
 from ..lang.pattern import Pattern
 from ..lang.subscription import Subscription
-from .compile import Compiler, Parameter, extracted, extracted_value, patterns_column, payload_paths, with_paths
+from .compile import Compiler, Parameter, extracted, extracted_value, path_columns, path_names, patterns_column, payload_paths, with_paths
 
 #: Subscriptions in one projection; rows of patterns that are broadcast at most.
 AT_ONCE, BROADCAST_ROWS = 50, 200_000
@@ -191,6 +191,18 @@ def _plain(value: Any) -> str:
     return f"b{str(value).lower()}" if isinstance(value, bool) else f"s{value}" if isinstance(value, str) else f"n{float(value)!r}"
 
 
+@dataclass(frozen=True)
+class Compiled:
+    """Subscriptions as columns, made once for all tables and streams of events."""
+
+    paths: list[Column]
+    read: list[Column]
+    keys: Column
+    table: DataFrame
+    condition: Column
+    several: bool
+
+
 class Matcher:
     """Standing subscriptions, by id, compiled for joins."""
 
@@ -210,7 +222,7 @@ class Matcher:
     def evaluate(self, events: DataFrame, sub_id: str) -> DataFrame:
         return evaluated(events, sub_id, self.subs[sub_id])
 
-    def _compile(self) -> tuple[dict[Shape, str], list[tuple[Any, Any]], dict[tuple, int], DataFrame, bool]:
+    def _compile(self) -> Compiled:
         shapes: dict[Shape, str] = {}
         templates: dict[tuple, int] = {}
         joins: dict[tuple, int] = {}  # (shape, path): event keys to make
@@ -233,33 +245,17 @@ class Matcher:
                 numbers = [float(v) if isinstance(v, (int, float)) else None for v in taken]
                 rows.append((key, sub_id, template, [v if isinstance(v, str) else None for v in taken], numbers))
         kinds = (("_key", pa.string()), ("sub_id", pa.string()), ("_template", pa.int32()), ("_texts", pa.list_(pa.string())), ("_numbers", pa.list_(pa.float64())))
-        table = self.spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})).cache() if rows else None
-        return shapes, list(templates), joins, table, several
-
-    def match_ids(self, events: DataFrame) -> DataFrame:
-        """(event columns, sub_id) for every match."""
-        if not self.subs:
-            return events.withColumn("sub_id", F.lit("")).where("false")
-        if self._compiled is None:
-            self._compiled = self._compile()
-        shapes, templates, joins, table, several = self._compiled
-        paths = sorted({path.steps for _, path in joins if path is not None}.union(*(_paths(where) for where, _ in templates)))
-        given = events.columns
-        events, known = with_paths(events, set(paths))
-        events = events.select(*given, F.split("subject", r"\.").alias("_tokens"), *(c for name in known.values() for c in extracted(name)))
-        tokens = F.col("_tokens")
+        table = self.spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)}))
+        known = path_names({path.steps for _, path in joins if path is not None}.union(*(_paths(where) for where, _ in templates)))
         keys = []
         for shape, path in joins:
-            key = shape.key(shapes[shape], tokens)
+            key = shape.key(shapes[shape], F.col("_tokens"))
             if path is not None:
                 v = extracted_value(known[path.steps])
                 number = F.when(v.is_("num"), F.concat(F.lit("n"), _shown(v.read("num"))))
                 text = F.coalesce(number, F.when(v.is_("str"), F.concat(F.lit("s"), v.read("str"))), F.when(v.is_("bool"), F.concat(F.lit("b"), v.read("bool").cast("string"))))
                 key = F.concat(key, F.lit(f"|{path}|"), text)
             keys.append(key)
-        keyed = events.withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))))
-        right = F.broadcast(table) if len(self.subs) <= BROADCAST_ROWS else table
-        out = keyed.join(right, "_key")
 
         def parameter(k: int, kind: str) -> Column:
             return F.get(F.col("_texts"), k) if kind == "str" else F.get(F.col("_numbers"), k) if kind == "num" else F.get(F.col("_numbers"), k) == 1.0
@@ -270,8 +266,22 @@ class Matcher:
             if source is not None:
                 ok = ok & (patterns_column((source,), F.col("source")) | patterns_column((source,), F.col("node")))
             conditions = F.when(F.col("_template") == number, ok).otherwise(conditions)
-        out = out.where(conditions).select(*given, "sub_id")
-        return out.dropDuplicates(["seq", "sub_id"]) if several else out
+        read = [F.split("subject", r"\.").alias("_tokens"), *(c for name in known.values() for c in extracted(name))]
+        # no two keys of an event are the same
+        return Compiled(path_columns(known), read, F.explode(F.array(*keys)), F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table, conditions, several)
+
+    def match_ids(self, events: DataFrame) -> DataFrame:
+        """(event columns, sub_id) for every match."""
+        if not self.subs:
+            return events.withColumn("sub_id", F.lit("")).where("false")
+        if self._compiled is None:
+            self._compiled = self._compile()
+        c, given = self._compiled, events.columns
+        for columns in c.paths:
+            events = events.select("*", columns)
+        keyed = events.select(*given, *c.read).withColumn("_key", c.keys).where("_key is not null")
+        out = keyed.join(c.table, "_key").where(c.condition).select(*given, "sub_id")
+        return out.dropDuplicates(["seq", "sub_id"]) if c.several else out
 
 
 def _shown(number: Column) -> Column:
