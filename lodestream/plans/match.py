@@ -89,12 +89,34 @@ def evaluated(events: DataFrame, sub_id: str, sub: Subscription) -> DataFrame:
     return events.select(*columns, F.lit(sub_id).alias("sub_id"), outcome.alias("outcome"), tier.alias("rejected_at"), reason.alias("reason"), F.when(~rejected, block).alias("match"))
 
 
-def why_not(events: DataFrame, sub_id: str, sub: Subscription) -> DataFrame:
-    """id, matched, rejected_at, reason (or the match) of events for one subscription."""
-    pending = "+".join(n for n in ("meaning", "judge") if getattr(sub, n))
+def why_not(events: DataFrame, sub_id: str, sub: Subscription, scores: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """seq, id, sub_id, matched, rejected_at, reason and the match block of events for one subscription.
+
+    With scores (seq, score, descriptor) of the meaning clause and verdicts (seq, verdict, rationale) the judge gave before,
+    these clauses are told, too, and the block records them; nobody is asked anew.
+    """
     out = evaluated(events, sub_id, sub)
-    reason = F.when(F.col("outcome") == "pending", F.lit(f"the deterministic clauses hold; {pending} is still to be asked")).otherwise(F.col("reason"))
-    return out.select("seq", "id", "sub_id", (F.col("outcome") == "matched").alias("matched"), "rejected_at", reason.alias("reason"), "match")
+    record, known = [], []
+    for name, rows, columns in (("meaning", scores, "score double, descriptor string"), ("judge", verdicts, "verdict boolean, rationale string")):
+        fields = [c.split() for c in columns.split(", ")]
+        if getattr(sub, name) and rows is not None:
+            known.append(name)
+            own = rows.select(F.col("seq").alias(f"_{name}_seq"), F.struct(*(F.col(c).cast(t).alias(c) for c, t in fields)).alias(f"_{name}"))
+            out = out.join(own, F.col("seq") == F.col(f"_{name}_seq"), "left")
+        else:
+            out = out.withColumn(f"_{name}", F.lit(None).cast(f"struct<{', '.join(f'{c}: {t}' for c, t in fields)}>"))
+        record.append(F.when(F.col("match").isNotNull(), F.col(f"_{name}")).alias(name))
+    above = f"{sub.meaning.threshold:g}" if sub.meaning else ""
+    low = F.col("_meaning.score").isNotNull() & (F.col("_meaning.score") <= F.lit(sub.meaning.threshold if sub.meaning else 0.0))
+    no = F.coalesce(~F.col("_judge.verdict"), F.lit(False))
+    passed = F.col("outcome") != "rejected"
+    tier = F.when(passed & low, F.lit("meaning")).when(passed & no, F.lit("judge")).otherwise(F.col("rejected_at"))
+    open_ = [n for n in ("meaning", "judge") if getattr(sub, n)]
+    waits = F.concat_ws("+", *(F.when(F.col(f"_{n}").isNull(), F.lit(n)) for n in open_))
+    told = F.when(low, F.concat(F.lit("meaning: a score of "), F.format_number("_meaning.score", 3), F.lit(f" is not above {above}"))).when(no, F.concat(F.lit("judge: no, "), F.coalesce("_judge.rationale", F.lit("")))).when(waits != "", F.concat(F.lit("the deterministic clauses hold; "), waits, F.lit(" is still to be asked")))
+    reason = F.when(passed, told).otherwise(F.col("reason"))
+    match = F.when(tier.isNull(), F.struct("match.*", *record))
+    return out.select("seq", "id", "sub_id", (passed & tier.isNull() & (waits == "")).alias("matched"), tier.alias("rejected_at"), reason.alias("reason"), match.alias("match"))
 
 
 def survives(events: DataFrame, sub: Subscription) -> DataFrame:

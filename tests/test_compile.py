@@ -77,3 +77,16 @@ def test_join_equals_projection(spark, events):
     assert by_join == sorted((r["seq"], r["sub_id"]) for r in match_matrix(events, subs).select("seq", "sub_id").collect())
     matcher.remove("S0")
     assert matcher.size() == len(subs) - 1 and all(r["sub_id"] != "S0" for r in matcher.match_ids(events).select("sub_id").collect())
+
+
+def test_explained_with_scores_and_verdicts(spark, events):
+    sub = parse('on a.b where payload.a == 1 meaning "x" > 0.5 judge "y?" budget 1/day then cmd x')
+    scores = spark.createDataFrame([(1, 0.9, "x"), (2, 0.2, "x")], "seq long, score double, descriptor string")
+    verdicts = spark.createDataFrame([(1, True, "so it is")], "seq long, verdict boolean, rationale string")
+    rows = {r["seq"]: r for r in why_not(events, "S", sub, scores, verdicts).collect()}
+    assert rows[1]["matched"] and rows[1]["match"]["meaning"]["score"] == 0.9 and rows[1]["match"]["judge"]["rationale"] == "so it is"
+    assert (rows[2]["matched"], rows[2]["rejected_at"]) == (False, "meaning") and rows[3]["rejected_at"] == "where" and rows[3]["match"] is None
+    said = why_not(events, "S", sub, scores, verdicts.select("seq", (~verdicts.verdict).alias("verdict"), "rationale")).where("seq = 1").first()
+    assert said["rejected_at"] == "judge" and said["reason"].endswith("so it is")
+    waiting = {r["seq"]: r for r in why_not(events, "S", sub, scores).collect()}
+    assert not waiting[1]["matched"] and waiting[1]["rejected_at"] is None and "judge" in waiting[1]["reason"]

@@ -310,3 +310,22 @@ def test_a_poll_is_read_again_whole():
     reader = connector._Reader({"path": "", "watermark": "n"})
     reader._records = lambda: [*records, {"id": "later", "n": 900}]
     assert len(rows) == 800 and list(reader.readBetweenOffsets(start, end)) == rows and len(end["recent"]) == 500
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestream.cli import main
+
+    said = lambda *args: (main([str(a) for a in args]), capsys.readouterr().out.strip())
+    path = tmp_path / "log"
+    assert said("emit", path, "a.b", '{"n": 1}') == (0, "1") and said("emit", path, "a.c", '{"n": 2}') == (0, "2") and main(["emit", str(path), "a.*"]) == 2
+    capsys.readouterr()
+    assert [json.loads(x)["seq"] for x in said("tail", path, "--on", "on a.** where payload.n > 1")[1].splitlines()] == [2]
+    assert [json.loads(x)["seq"] for x in said("tail", path, "--last", 1)[1].splitlines()] == [2]
+    assert json.loads(said("status", path)[1])["events"] == 2
+    config, state = tmp_path / "c.toml", tmp_path / "state.json"
+    config.write_text('[[subscription]]\nname = "x"\nwhen = "on a.b then cmd y"\n')
+    assert said("apply", config, state)[1] == "created subscription x" and said("apply", config, state)[1] == "unchanged subscription x"
+    assert said("ls", config)[1] == "subscription x when on a.b then cmd y"
+    config.write_text("")
+    assert said("apply", config, state, "--prune")[1] == "pruned subscription x"
+    assert [said("cursor", tmp_path / "k.json", "me", *n)[1] for n in ((), (7,), (3,))] == ["0", "7", "7"]
