@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +36,41 @@ def written(df: DataFrame) -> DataFrame:
     """As saved, but compressed and by column: for texts, and for small rows in loops, as nothing of the plan stays.
 
     (A checkpoint keeps what the optimiser inferred of its plan, and that multiplies from round to round.)
-    These tables stay until ``tidy`` or until the folder goes.
+    These tables stay until ``tidy`` or until the folder goes, or until the end of ``passing``.
     """
     spark = df.sparkSession
     shared(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rounds/{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rounds/{_OWNER.get()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OWNER: ContextVar[str] = ContextVar("owner", default="shared")
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is ``written`` meanwhile goes at the end; results must be elsewhere by then."""
+    shared(spark)
+    name = uuid.uuid4().hex
+    before = _OWNER.set(name)
+    try:
+        yield
+    finally:
+        _OWNER.reset(before)
+        deleted(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rounds/{name}")
+
+
 def tidy(spark: SparkSession) -> None:
     """Delete the tables of ``written`` once no result that reads them is needed any more."""
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isDefined():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.get()}/rounds")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(spark, f"{folder.get()}/rounds")
 
 
 #: Cells of the table that tells which rows may be among some others.
