@@ -2,7 +2,8 @@
 
 Each stage takes (spark, documents so far, folder of the tables) and works on all
 its predecessor kept.  ``run`` writes every stage's rows as Parquet in the shared
-folder and rereads them, so that a lost executor never costs more than a stage.
+folder and rereads them, so that a lost executor never costs more than a stage; what a later stage has
+read is deleted.
 """
 
 from __future__ import annotations
@@ -54,8 +55,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spark.table(spark, sf_dir, "documents")
     _spark.shared(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline/{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with _spark.passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            _spark.deleted(spark, last)
+        last = path
     return docs
