@@ -85,6 +85,12 @@ class Registry:
             self.remove(k, "expired" if self.rows[k]["expires_at"] and self.rows[k]["expires_at"] <= now else "lessee gone", now)
         return gone
 
+    def status(self, events: DataFrame, deliveries: DataFrame | None = None) -> dict:
+        """Counts of what there is: subscriptions, events and their range, deliveries by subscription."""
+        row = events.agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).first().asDict()
+        by_sub = {r["sub_id"]: r["n"] for r in deliveries.groupBy("sub_id").agg(F.count("*").alias("n")).where(F.col("sub_id").isin(list(self.rows))).collect()} if deliveries is not None else {}
+        return {"subscriptions": len(self.rows), **row, "deliveries": by_sub}
+
     def matcher(self) -> Matcher:
         return Matcher(self.spark, {k: r["sub"] for k, r in self.rows.items()})
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lang.reader import ParseError
 from ..lang.subscription import PERIODS, Judge
 from .folds import budgeted
 
@@ -36,6 +38,34 @@ def parsed_verdict(answer: str) -> Verdict:
     return token[1].lower() == "yes", answer[token.end() :]
 
 
+@dataclass(frozen=True)
+class Provider:
+    """Who answers: model names begin with one of the prefixes, the key is in this environment variable."""
+
+    name: str
+    prefixes: tuple[str, ...]
+    key_variable: str
+    base_url: str
+
+
+@dataclass(frozen=True)
+class Settings:
+    provider: Provider
+    model: str
+    key: str
+    base_url: str
+
+
+def provider_settings(model: str, providers: list[Provider], env: Mapping[str, str], named: str | None = None, base_url: str | None = None) -> Settings:
+    """The provider of a model, by its name's prefix or else as named, and its key; without one of these a judge can't be registered."""
+    found = next((p for p in providers if model.startswith(p.prefixes)), None) or next((p for p in providers if p.name == named), None)
+    if found is None:
+        raise ParseError(f"nobody is known to answer for the model '{model}'; name one of {', '.join(p.name for p in providers)}")
+    if not env.get(found.key_variable):
+        raise ParseError(f"the model '{model}' needs a key in {found.key_variable}")
+    return Settings(found, model, env[found.key_variable], base_url or found.base_url)
+
+
 def rule_judge(question: str, summary: str) -> str:
     """A stand-in without a model: yes if any long word of the question is in the event."""
     words = {w for w in re.findall(r"[a-z]{5,}", question.lower())}
@@ -79,3 +109,18 @@ def decided(candidates: DataFrame, verdicts: DataFrame, judge: Judge, ask: Calla
     new = fresh.join(asked.union(held), "key")
     columns = ["sub_id", "seq", "key", "verdict", "rationale", "status"]
     return cached.select(*columns).union(new.select(*columns))
+
+
+def remembered(verdicts: DataFrame, decided: DataFrame, now: Column) -> DataFrame:
+    """The cache (key, verdict, rationale, asked_at) with what was asked; errors aren't kept."""
+    new = decided.where("status = 'asked'").groupBy("key").agg(F.first("verdict").alias("verdict"), F.first("rationale").alias("rationale")).withColumn("asked_at", now)
+    return verdicts.select("key", "verdict", "rationale", "asked_at").join(new.select("key"), "key", "left_anti").unionByName(new)
+
+
+def judge_events(decided: DataFrame) -> DataFrame:
+    """Partial events of a round of judging: an error for each question that got no answer, and a subscription's first refusal by budget."""
+    errors = decided.where("status = 'error'").groupBy("key").agg(F.first("sub_id").alias("id"), F.min("seq").alias("seq"), F.first("rationale").alias("error"))
+    spent = decided.where("status = 'budget'").groupBy("sub_id").agg(F.min("seq").alias("seq"))
+    body = lambda *columns: F.to_json(F.struct(*columns))
+    rows = [errors.select(F.lit("lodestream.judge.error").alias("subject"), body("id", "seq", "error").alias("payload_json")), spent.select(F.lit("lodestream.subscription.budget_exhausted").alias("subject"), body(F.col("sub_id").alias("id"), "seq").alias("payload_json"))]
+    return rows[0].union(rows[1]).withColumn("source", F.lit("lodestream"))

@@ -82,6 +82,11 @@ def retained(rows: DataFrame, now: Column, column: str = "event_time", seconds:
     return rows.where(F.col(column) >= now - F.make_dt_interval(secs=F.lit(seconds)))
 
 
+def latest(rows: DataFrame, most: int, by: str = "seq") -> DataFrame:
+    """The last so many rows, oldest first: what a window of vectors or forwarded ids is loaded with, and what is kept of them."""
+    return rows.orderBy(F.desc(by)).limit(most).orderBy(by)
+
+
 # ---- cursors -------------------------------------------------------------------------
 
 def committed(cursors: DataFrame, commits: DataFrame) -> DataFrame:

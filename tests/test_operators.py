@@ -329,3 +329,35 @@ def test_command_line(spark, tmp_path, capsys):
     config.write_text("")
     assert said("apply", config, state, "--prune")[1] == "pruned subscription x"
     assert [said("cursor", tmp_path / "k.json", "me", *n)[1] for n in ((), (7,), (3,))] == ["0", "7", "7"]
+
+
+def test_who_answers():
+    known = [judge.Provider("one", ("alpha", "beta"), "ONE_KEY", "https://one.invalid"), judge.Provider("two", ("gamma",), "TWO_KEY", "https://two.invalid")]
+    got = judge.provider_settings("beta-3", known, {"ONE_KEY": "k"})
+    assert (got.provider.name, got.key, got.base_url) == ("one", "k", "https://one.invalid")
+    assert judge.provider_settings("delta", known, {"TWO_KEY": "k"}, "two", "http://here").base_url == "http://here"
+    for model, env in (("delta", {"ONE_KEY": "k"}), ("gamma", {"ONE_KEY": "k"})):
+        with pytest.raises(ParseError):
+            judge.provider_settings(model, known, env)
+
+
+def test_what_judging_leaves(spark):
+    rows = spark.createDataFrame([("S", k, datetime(2024, 1, 1, 0, k, tzinfo=timezone.utc), f"f{k}", f"event {k}") for k in range(6)], "sub_id string, seq long, event_time timestamp, fingerprint string, summary string")
+    known = spark.createDataFrame([], "key string, verdict boolean, rationale string, asked_at timestamp")
+
+    def ask(question, summary):
+        if summary.endswith("1"):
+            raise OSError("no answer")
+        return '{"verdict": true, "rationale": "r"}'
+
+    out = judge.decided(rows, known, judge.Judge("q?", 4, "day"), ask).cache()
+    events = {r["subject"]: json.loads(r["payload_json"]) for r in judge.judge_events(out).collect()}
+    assert events == {"lodestream.judge.error": {"id": "S", "seq": 1, "error": "no answer"}, "lodestream.subscription.budget_exhausted": {"id": "S", "seq": 4}}
+    kept = judge.remembered(known, out, F.lit("2024-01-02").cast("timestamp"))
+    assert sorted(r["key"] for r in kept.collect()) == ["S:f0", "S:f2", "S:f3"]
+    again = judge.decided(rows, kept, judge.Judge("q?", 4, "day"), ask)
+    assert sorted(r["status"] for r in again.collect()) == ["asked", "asked", "cached", "cached", "cached", "error"]
+    assert [r["seq"] for r in log.latest(rows, 2).collect()] == [4, 5]
+    registry = api.Registry(spark)
+    registry.register(parse("on a then cmd x"), NOW, "S")
+    assert registry.status(rows, out) == {"subscriptions": 1, "events": 6, "first_seq": 0, "last_seq": 5, "deliveries": {"S": 6}}
