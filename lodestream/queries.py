@@ -334,7 +334,7 @@ def judge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.budgeted(_by_type(spark, sf_dir), 20, PERIODS["day"])
 
 
-@query()
+@query(f"WITH {EV} SELECT seq, id FROM ev WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 10000 < 1000")
 def judge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic tenth of the events."""
     return sample_events(spark, sf_dir).where(judge.sampled(F.col("id"), 0.1)).select("seq", "id")
