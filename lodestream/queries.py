@@ -133,6 +133,12 @@ def why_not_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(sample_events(spark, sf_dir), "S", sub).select("seq", "rejected_at", "reason")
 
 
+@query(f"WITH {EV} SELECT seq, 'where' AS rejected_at, CASE WHEN k < 50 THEN 'expression ''payload.k >= 50 && payload.kind > 3'' evaluated to false' ELSE 'expression ''payload.k >= 50 && payload.kind > 3'' errored' END AS reason FROM ev")
+def why_not_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error that isn't reached is none."""
+    return evaluated(sample_events(spark, sf_dir), "S", parse("on ** where payload.k >= 50 && payload.kind > 3 then cmd x")).select("seq", "rejected_at", "reason")
+
+
 @query(f"WITH {EV} SELECT seq, event_type = 'error' AND k > 40 AS survives FROM ev")
 def survives_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survives(sample_events(spark, sf_dir), parse('on app.error.** where payload.k > 40 meaning "x" then cmd x')).select("seq", "survives")
@@ -511,6 +517,15 @@ def watermark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("record_id", "watermark", subject.alias("subject"))
 
 
+@query("SELECT 'docs.' || lower(regexp_replace(source, '[^A-Za-z0-9_-]', '-', 'g')) AS subject, 'tap.docs' AS source, doc_id FROM documents WHERE doc_id >= 100 AND doc_id NOT IN (100, 101)")
+def connector_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a poll brings, as events, by its manifest's template."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.parse_json(F.to_json(F.struct("doc_id", "source"))).alias("record"))
+    poll = taps.Poll("docs", "{connector}.{source}", id="doc_id", watermark="doc_id", fields=("source",))
+    fresh = taps.fresh_records(docs, poll, "100", spark.createDataFrame([("100",), ("101",)], "id string"))
+    return taps.poll_events(fresh, poll).select("subject", "source", F.get_json_object("payload_json", "$.doc_id").cast("long").alias("doc_id"))
+
+
 @query("SELECT 'hive.' || event_type AS subject, 'tap.hive' AS source, 'S.' || user_id AS correlation, count(*) AS n FROM events GROUP BY event_type, user_id")
 def ledger_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
