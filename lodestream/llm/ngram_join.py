@@ -120,10 +120,11 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     member = _spark.saved(classes.join(groups, ["n", "p1", "p2"]).select("g", "id", "n", "members"))
 
     # the inverted index over the groups' prefixes, without tokens of one group only; each token has its first group as hub
-    some = usable.where(F.size("prefix") > 0).select(F.col("doc_id").alias("g"), "n", F.arrays_zip("prefix", "places").alias("p"))
+    some = usable.where(F.size("prefix") > 0).select(F.col("doc_id").alias("g"), "n", "prefix", "places")
     prefix = some.join(member.where("id = g").select("g", "n").distinct(), ["g", "n"])
-    tokens = prefix.select(F.explode("p").alias("p"), "g", "n").select(F.col("p.places").alias("at"), F.col("p.prefix").alias("token"), "g", "n")
-    hubs = tokens.groupBy("token").agg(F.min("g").alias("hub"), F.max("g").alias("last"), F.min_by("n", "g").alias("hub_n"), F.min_by("at", "g").alias("hub_at")).where("hub < last").drop("last")
+    # n and the token's place in one number: these rows are the most that is shuffled
+    tokens = prefix.select("g", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select(F.col("p.prefix").alias("token"), "g", (F.shiftleft("n", 32) + F.col("p.places")).alias("pos"))
+    hubs = tokens.groupBy("token").agg(F.min("g").alias("hub"), F.max("g").alias("last"), F.min_by("pos", "g").alias("hub_pos")).where("hub < last").drop("last")
     index = _spark.saved(tokens.join(hubs, "token"))
 
     most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
@@ -140,13 +141,14 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         return both.where(100 * same >= percent * (F.size("u_set") + F.size("v_set") - same)).select("u", "v")
 
     # each token's groups with its hub, each group's members with its first
-    star = index.where("g <> hub").select(F.struct("g", "n", "at").alias("a"), F.struct(F.col("hub").alias("g"), F.col("hub_n").alias("n"), F.col("hub_at").alias("at")).alias("b")).where(fits).select(F.col("a.g").alias("u"), F.col("b.g").alias("v"))
+    at = lambda g, pos: F.struct(F.col(g).alias("g"), F.shiftright(pos, 32).alias("n"), F.col(pos).bitwiseAND(F.lit(2**32 - 1)).alias("at"))
+    star = index.where("g <> hub").select(at("g", "pos").alias("a"), at("hub", "hub_pos").alias("b")).where(fits).select(F.col("a.g").alias("u"), F.col("b.g").alias("v"))
     links = verified(star.union(wide.select(F.col("g").alias("u"), F.col("id").alias("v"))))
 
     # what is left: groups that share a token, members of one group, in different components so far
     root = _spark.components(links)
     rooted = _spark.saved(member.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    rest = index.select("token", "g", "n", "at").join(rooted.select("g", "id", "root"), "g")
+    rest = index.select("token", "g", F.shiftright("pos", 32).alias("n"), F.col("pos").bitwiseAND(F.lit(2**32 - 1)).alias("at")).join(rooted.select("g", "id", "root"), "g")
     open_tokens = rest.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     rest = _spark.saved(rest.join(open_tokens, "token"))
     inner = rooted.where("members > 1")
