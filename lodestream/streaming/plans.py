@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang.subscription import Subscription
@@ -29,16 +29,40 @@ def admitted(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return hop_capped(events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"]))
 
 
-def expired(events: DataFrame, sub: Subscription, delay: str = "0 seconds") -> DataFrame:
+def expired(events: DataFrame, sub: Subscription, delay: str = "0 seconds", by_expected: bool = False) -> DataFrame:
     """Origins without the expected event in time, once the watermark has passed their deadline.
 
-    Streams have no anti join, so this is an outer one whose unmatched rows stay.
+    Streams have no anti join, so this is an outer one whose unmatched rows stay.  Time passes, in
+    milliseconds, with the origins and the expected events, whichever are ahead; ``by_expected``,
+    with the expected ones alone and in microseconds: origins wait while one in time may still come.
     """
     columns = ["seq", "id", "event_time", "source", "node", "subject", "type", "ts", "correlation", "payload_json"]
-    s = absence.sides(events.withWatermark("event_time", delay), sub)
+    deadline = lambda time: F.col(time) + F.make_dt_interval(secs=F.lit(sub.expect.within.seconds))
+    s = absence.sides(events if by_expected else events.withWatermark("event_time", delay), sub)
     texts = lambda df: df.drop("payload", *(c for c in df.columns if c.startswith("_path") and c[5:].isdigit()))  # noqa: E731 - no variants in a join's state
-    joined = texts(s.origins).alias("o").join(texts(s.expected).alias("e"), s.condition(), "leftOuter")
-    return joined.where(F.col("e.seq").isNull()).select(*(F.col(f"o.{c}") for c in columns), (F.col("o.event_time") + F.make_dt_interval(secs=F.lit(sub.expect.within.seconds))).alias("deadline"))
+    origins, expected, condition = texts(s.origins), texts(s.expected), s.condition()
+    if by_expected:
+        slow = _slow_delay(events.sparkSession, delay)
+        # the deadline bears a watermark's mark, so that state is bounded, but moves none
+        origins = origins.withColumn("_due", _slow_clock(deadline("event_time"), up=True).alias("_due", metadata={"spark.watermarkDelayMs": slow}))
+        expected = expected.withColumn("_clock", _slow_clock(F.col("event_time"))).withWatermark("_clock", f"{slow} milliseconds")
+        # follow from the condition; half a unit less, as state's bounds are reckoned in doubles and cut to units
+        condition &= (F.col("e._clock") < F.col("o._due") - F.expr("INTERVAL 0.0005 SECONDS")) & (F.col("e._clock") >= F.col("o._due") - F.expr(f"INTERVAL {sub.expect.within.seconds * 1000} SECONDS"))
+    joined = origins.alias("o").join(expected.alias("e"), condition, "leftOuter")
+    return joined.where(F.col("e.seq").isNull()).select(*(F.col(f"o.{c}") for c in columns), deadline("o.event_time").alias("deadline"))
+
+
+def _slow_clock(time: Column, up: bool = False) -> Column:
+    """A time as one whose milliseconds are its microseconds, as watermarks are cut to milliseconds.  Outside of 1716 to 2223, where a long would end, it runs as usual."""
+    t = F.unix_micros(time)
+    within = lambda end: F.least(F.greatest(t, F.lit(-end)), F.lit(end))
+    c = within(8 * 10**15) * 999 + within(10**18)
+    return F.when(t.isNotNull(), F.timestamp_micros(c + F.pmod(-c, F.lit(1000)) if up else c - F.pmod(c, F.lit(1000))))
+
+
+def _slow_delay(spark: SparkSession, delay: str) -> int:
+    """A delay in milliseconds of the slow clock."""
+    return spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL '{delay}')").first()[0]
 
 
 def matched(events: DataFrame, sub_id: str, sub: Subscription, delay: str = "0 seconds") -> DataFrame:

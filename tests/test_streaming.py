@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,42 @@ def test_absence(spark, data, stream, tmp_path):
     assert keyed(drained(spark, plans.expired(stream(), sub).select("seq"), tmp_path), "seq") == keyed(absence.expired(sample_events(spark, data), sub), "seq")
 
 
+@pytest.mark.parametrize("name", ["stream_expect_payload", "stream_expect_any"])
+def test_absence_up_to_the_last_expected(spark, tmp_path, name):
+    """Deadlines a microsecond before, at and after the last expected event, and later origins: as in SQL, the rest when it comes."""
+    from datetime import datetime, timedelta
+
+    import __spark_entry__ as driver
+    from compare import assert_same
+    from lodestream import queries
+    from lodestream.sources.envelope import as_events
+
+    last = datetime(2024, 1, 2, 20, 0, 0, 345)
+    origins = [last - back + timedelta(microseconds=off) for back in (timedelta(hours=12), timedelta(minutes=20)) for off in (-1, 0, 1)]
+    rows = [(t, "signup") for t in [*origins, last + timedelta(hours=1), last + timedelta(hours=14)]] + [(last, "purchase")]
+    table = [(n, t, n, kind, 5.0, '{"k": 3}') for n, (t, kind) in enumerate(sorted(rows))]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    folder = tmp_path / "data"
+
+    def put(part, more):
+        out = folder / part
+        spark.createDataFrame(more, schema).coalesce(1).write.parquet(str(tmp_path / "parts" / part))
+        out.mkdir(parents=True)
+        next((tmp_path / "parts" / part).glob("part*")).rename(out / "events.parquet")
+        return str(out)
+
+    first = put("first", table)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{first}/events.parquet'")
+    assert_same(driver.queries()[name](spark, first).toPandas(), con.sql(driver.oracle_sql()[name]).df())
+
+    # what waits is neither lost nor told twice when an expected event comes
+    put("second", [(20, last + timedelta(days=3), 99, "purchase", 1.0, '{"k": 3}')])
+    both = lambda: as_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*"))
+    sub = queries.ABSENT[name.removeprefix("stream_")]
+    assert sorted(r["seq"] for r in drained(spark, plans.expired(both(), sub, by_expected=True), tmp_path).collect()) == sorted(r["seq"] for r in absence.expired(as_events(spark.read.schema(schema).parquet(f"{folder}/*")), sub).collect())
+
+
 def test_admission_and_limit(spark, stream, tmp_path):
     out = drained(spark, plans.admitted(stream()).select("id", "hops"), tmp_path)
     assert out.where("hops > 8").count() == 0 and out.count() == out.select("id").distinct().count()
